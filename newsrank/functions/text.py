@@ -58,8 +58,8 @@ def title_key(title: Column) -> Column:
 def clean_result_title(title: Column, publisher: Column) -> Column:
     """Cut the publisher a search engine appends to the title."""
     t = strip(title)
-    bare = F.rtrim(F.substring(t, F.lit(1), F.length(t) - F.length(publisher)))
-    cut = F.when(bare.endswith("-"), F.rtrim(F.regexp_replace(bare, "-$", ""))).otherwise(bare)
+    bare = F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(publisher)), r"(?U)\s+$", "")
+    cut = F.regexp_replace(bare, r"(?U)\s*-$", "")
     ends = (F.coalesce(F.length(publisher), F.lit(0)) > 0) & F.endswith(t, publisher)
     return F.when(ends & (F.length(cut) >= 8), cut).otherwise(
         strip(F.regexp_replace(t, r"\s+-\s+[^-]{2,40}$", "")))

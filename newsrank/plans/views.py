@@ -324,7 +324,23 @@ FROM (SELECT coin, day, CAST(max(value) - min(value) AS DOUBLE) AS rng FROM beha
 """
 
 
+def institutions(w) -> str:
+    """A small institution table: names, host names and account handles with their tier."""
+    tier = _pick("n_nationkey % 4", _quoted(["official", "top_media", "established", "secondary"]))
+    weaker = _pick("n_nationkey % 3", _quoted(["top_media", "established", "secondary"]))
+    return f"""
+SELECT 'name' AS kind, 'src' || CAST(n_nationkey AS STRING) AS key, 'i' || CAST(n_nationkey % 6 AS STRING) AS inst,
+       {tier} AS tier FROM nation WHERE n_nationkey < 10
+UNION ALL SELECT 'domain', 'site' || CAST(n_nationkey AS STRING) || '.example.com', 'd' || CAST(n_nationkey % 4 AS STRING),
+       {tier} FROM nation WHERE n_nationkey BETWEEN 10 AND 17
+UNION ALL SELECT 'handle', 'user' || CAST(n_nationkey AS STRING), 'h' || CAST(n_nationkey AS STRING),
+       {weaker} FROM nation
+UNION ALL SELECT 'name_tier', 'src4', '', 'secondary' FROM nation WHERE n_nationkey = 4
+"""
+
+
 VIEWS = {
+    "institutions": institutions,
     "raw_items": raw_items, "staging": staging, "posts": posts, "news_events": news_events,
     "coin_universe": coin_universe, "tickers": tickers, "candles": candles, "behaviour_log": behaviour_log,
     "holdings": holdings, "shocks": shocks,
