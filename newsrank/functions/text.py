@@ -22,6 +22,17 @@ def clamp(col: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), col))
 
 
+def fixed(value: Column, digits: int, commas: bool = False) -> Column:
+    """Number text with fixed digits, rounded from the exact binary value (ties to even)."""
+    text = F.format_number(value, digits)
+    return text if commas else F.replace(text, F.lit(","), F.lit(""))
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """Round by the exact binary value, where the plain ``round`` goes by the shortest decimal text."""
+    return fixed(value, digits).cast("double")
+
+
 # --- titles ------------------------------------------------------------------------------
 
 def canonical_numbers(text: Column) -> Column:

@@ -63,29 +63,37 @@ def ordered_caps(rows: DataFrame, order: str, caps: dict[str, int]) -> DataFrame
     """
     keys = list(caps)
     left = cut_lineage(rows.select(F.col(order).alias("o"), *keys))
-    kept = None
-    used: dict[str, DataFrame] = {}
-    while True:
+    kept: list[DataFrame] = []
+    while not left.isEmpty():
         fits = left
+        used = {}
         for key, cap in caps.items():
+            if kept:
+                used[key] = _union(kept).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
             place = F.row_number().over(Window.partitionBy(key).orderBy("o"))
             front = (left.where(F.col(key).isNotNull()).select("o", key).withColumn("place", place)
                      .where(F.col("place") <= cap))
-            if key in used:
+            if kept:
                 front = front.join(used[key], key, "left").where(
                     F.col("place") <= F.lit(cap) - F.coalesce("n", F.lit(0)))
             free = left.where(F.col(key).isNull()).select("o").unionByName(front.select("o"))
             fits = fits.join(free, "o", "left_semi")
         won = cut_lineage(fits)
-        kept = won if kept is None else cut_lineage(kept.unionByName(won))
+        kept.append(won)
         rest = left.join(won, "o", "left_anti")
         for key, cap in caps.items():
-            used[key] = kept.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-            full = used[key].where(F.col("n") >= cap).select(key)
+            full = _union(kept).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(
+                F.col("n") >= cap).select(key)
             rest = rest.join(full, key, "left_anti")
         left = cut_lineage(rest.select("o", *keys))
-        if left.isEmpty():
-            return kept.select(F.col("o").alias(order))
+    return (_union(kept) if kept else left).select(F.col("o").alias(order))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def authority_pass(rows: DataFrame, group_edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -98,35 +106,33 @@ def authority_pass(rows: DataFrame, group_edges: DataFrame, max_rounds: int = 10
     among all rows within two steps, so turns of one round can not touch each other. Every step
     works on one figure for each group, never on the rows of a group together.
     """
-    both = group_edges.select("a", "b").unionByName(group_edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    loops = rows.select(F.col("g").alias("a")).distinct().select("a", F.col("a").alias("b"))
-    near = cut_lineage(both.unionByName(loops).distinct())
-    waiting = cut_lineage(rows.select("o", "g", "auth"))
-    kept = None
+    both = cut_lineage(group_edges.select("a", "b").unionByName(
+        group_edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rows = cut_lineage(rows.select("o", "g", "auth"))
+    # a group of one row without a similar group keeps its row: no turn needed
+    crowded = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    busy = cut_lineage(crowded.unionByName(both.select(F.col("a").alias("g"))).distinct())
+    kept = [rows.join(busy, "g", "left_anti").select("o")]
+    waiting = cut_lineage(rows.join(busy, "g", "left_semi"))
+    near = cut_lineage(both.unionByName(busy.select(F.col("g").alias("a"), F.col("g").alias("b"))))
     for _ in range(max_rounds):
+        if waiting.isEmpty():
+            return _union(kept)
         first = waiting.groupBy("g").agg(F.min("o").alias("o"))
         one = near.join(first, F.col("b") == F.col("g")).groupBy("a").agg(F.min("o").alias("o"))
         two = near.join(one.withColumnRenamed("a", "n"), F.col("b") == F.col("n")).groupBy("a").agg(
             F.min("o").alias("o"))
-        turn = cut_lineage(waiting.join(two.select(F.col("a").alias("g"), F.col("o").alias("low")), "g")
-                           .where("o = low").select("o", "g", "auth"))
-        levels = waiting.groupBy("g", "auth").agg(F.min("o").alias("level_o"))
-        stop = (turn.select(F.col("o").alias("by"), F.col("g").alias("tg"), F.col("auth").alias("mine"))
-                .join(near, F.col("tg") == F.col("a"))
-                .join(levels.withColumnRenamed("g", "lg"), F.col("b") == F.col("lg"), "left")
-                .groupBy("by").agg(F.min(F.when(F.col("auth") > F.col("mine"), F.col("level_o"))).alias("stop")))
-        ended = cut_lineage(turn.join(stop, F.col("o") == F.col("by"), "left").select("o", "g", "stop"))
-        reach = (ended.select(F.col("o").alias("by"), F.col("g").alias("tg"), "stop")
-                 .join(near, F.col("tg") == F.col("a"))
-                 .select(F.col("b").alias("g"), "by", F.coalesce("stop", F.lit(2 ** 62)).alias("upto")))
-        survivors = ended.where("stop IS NULL").select("o")
-        kept = survivors if kept is None else kept.unionByName(survivors)
-        kept = cut_lineage(kept)
-        hit = waiting.join(reach, "g").where("o >= by AND o < upto").select("o")
-        gone = hit.unionByName(ended.select("o"))
-        waiting = cut_lineage(waiting.join(gone.distinct(), "o", "left_anti"))
-        if waiting.isEmpty():
-            return kept
+        turn = waiting.join(two.select(F.col("a").alias("g"), F.col("o").alias("low")), "g").where("o = low").select(
+            F.col("o").alias("by"), F.col("g").alias("tg"), F.col("auth").alias("mine"))
+        levels = waiting.groupBy(F.col("g").alias("lg"), "auth").agg(F.min("o").alias("level_o"))
+        # the first row of higher authority among the neighbours ends the turn and the row itself
+        ended = cut_lineage(turn.join(near, F.col("tg") == F.col("a")).join(levels, F.col("b") == F.col("lg")).groupBy(
+            "by", "tg").agg(F.min(F.when(F.col("auth") > F.col("mine"), F.col("level_o"))).alias("stop")))
+        kept.append(ended.where("stop IS NULL").select(F.col("by").alias("o")))
+        reach = ended.join(near, F.col("tg") == F.col("a")).select(
+            F.col("b").alias("g"), "by", F.coalesce("stop", F.lit(2 ** 62)).alias("upto"))
+        left = waiting.join(reach, "g", "left").where("by IS NULL OR (o != by AND o >= upto)")
+        waiting = cut_lineage(left.select("o", "g", "auth"))
     raise RuntimeError("ordered pass did not settle")
 
 

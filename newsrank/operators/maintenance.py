@@ -10,6 +10,7 @@ from ..functions import scores as S
 from ..functions import times as T
 from .dedup import link_posts
 from .filters import all_aggregated
+from .score import with_move
 
 MUTATED = ["score_breadth", "score_punch", "punch_magnitude_pct", "score_authority", "importance_score", "scoring_version"]
 
@@ -17,14 +18,13 @@ MUTATED = ["score_breadth", "score_punch", "punch_magnitude_pct", "score_authori
 def rescore(events: DataFrame, price_move: str | None = None) -> DataFrame:
     """Breadth, punch and total recomputed; stored impact, time, heat, authority and quality kept."""
     c = F.col
-    pm = c(price_move) if price_move else None
-    pct = S.punch_pct(pm, c("title_zh"), c("title_en"), c("description_short_zh"))
+    pct = c("pct")
     b = S.breadth(c("breadth_level"))
     i = S.punch(pct, c("title_zh"), c("title_en"), c("description_short_zh"), c("sources"))
     part = lambda name: F.coalesce(name, F.lit(0.0))
     total = F.round(S.weighted_total({"M": part("score_market_impact"), "B": b, "T": part("score_timeliness"), "I": i,
                                       "H": part("score_hotness"), "A": part("score_authority"), "Q": part("score_quality")}), 4)
-    return events.where("score_market_impact IS NOT NULL").select(
+    return with_move(events.where("score_market_impact IS NOT NULL"), price_move).select(
         "id", "date", F.round(b, 4).alias("score_breadth"), F.round(i, 4).alias("score_punch"), pct.alias("punch_magnitude_pct"),
         F.round(part("score_authority"), 4).alias("score_authority"), total.alias("importance_score"),
         F.lit(D.SCORING_VERSION).alias("scoring_version"), c("importance_score").alias("old_importance"))

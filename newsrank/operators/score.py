@@ -25,31 +25,33 @@ def social_baseline(events: DataFrame, by: list[str] = ()) -> DataFrame:
                                 F.lit(D.SOCIAL_FLOOR)).alias("baseline"))
 
 
-def factor_columns(now, published: Column, price_move: Column | None = None) -> dict[str, Column]:
-    """The seven factors of an event row that carries ``baseline``."""
+def factor_columns(now, published: Column) -> dict[str, Column]:
+    """The seven factors of an event row that carries ``baseline`` and the move ``pct``."""
     c = F.col
-    pct = S.punch_pct(price_move, c("title_zh"), c("title_en"), c("description_short_zh"))
     return {
         "M": S.impact(c("score_market_impact"), c("event_tier")),
         "B": S.breadth(c("breadth_level")),
         "T": S.timeliness(published, T.wall(now)),
-        "I": S.punch(pct, c("title_zh"), c("title_en"), c("description_short_zh"), c("sources")),
+        "I": S.punch(c("pct"), c("title_zh"), c("title_en"), c("description_short_zh"), c("sources")),
         "H": S.hotness(c("social_interactions"), c("source_count"), c("baseline")),
         "A": S.authority(c("score_authority"), c("is_rumor"), c("verification_status")),
         "Q": S.quality(c("score_quality")),
     }
 
 
+def with_move(events: DataFrame, price_move: str | None = None) -> DataFrame:
+    """Add the move ``pct`` as a column of its own, so the rules that read it do not work it out again."""
+    pm = F.col(price_move) if price_move else None
+    return events.withColumn("pct", S.punch_pct(pm, F.col("title_zh"), F.col("title_en"), F.col("description_short_zh")))
+
+
 def score_events(events: DataFrame, now, published: str = "time_event", price_move: str | None = None) -> DataFrame:
     """Scored events: seven factors with 4 digits, the move, the total of the unrounded factors, the version."""
-    pm = F.col(price_move) if price_move else None
-    based = events.crossJoin(F.broadcast(social_baseline(events)))
-    f = factor_columns(now, F.col(published), pm)
-    raw = based.select("id", *[col.alias(k) for k, col in f.items()], S.punch_pct(
-        pm, F.col("title_zh"), F.col("title_en"), F.col("description_short_zh")).alias("punch_magnitude_pct"))
+    based = with_move(events, price_move).crossJoin(F.broadcast(social_baseline(events)))
+    raw = based.select("id", "pct", *[col.alias(k) for k, col in factor_columns(now, F.col(published)).items()])
     names = {"M": "score_market_impact", "B": "score_breadth", "T": "score_timeliness", "I": "score_punch",
              "H": "score_hotness", "A": "score_authority", "Q": "score_quality"}
-    return raw.select("id", *[F.round(k, 4).alias(n) for k, n in names.items()], "punch_magnitude_pct",
+    return raw.select("id", *[F.round(k, 4).alias(n) for k, n in names.items()], F.col("pct").alias("punch_magnitude_pct"),
                       F.round(S.weighted_total({k: F.col(k) for k in names}), 4).alias("importance_score"),
                       F.lit(D.SCORING_VERSION).alias("scoring_version"))
 

@@ -193,25 +193,28 @@ def next_state(state: DataFrame, kept: DataFrame, now, ttl_days: int = 30) -> Da
     return old.select("key", "magnitude", "at").unionByName(fresh)
 
 
+def _yuan(text: Column) -> Column:
+    return F.concat(text, F.lit(" 美元"))
+
+
 def price_text(px: Column) -> Column:
-    big = F.format_string("%.2f 万美元", px / 10000)
-    tiny = F.concat(F.regexp_replace(F.format_string("%.8f", px), "0+$", ""), F.lit(" 美元"))
-    return (F.when(px >= 10000, F.replace(big, F.lit(".00 万"), F.lit(" 万"))).when(px >= 100, F.format_string("%,.2f 美元", px))
-            .when(px >= 1, F.format_string("%.3f 美元", px)).when(px >= 0.01, F.format_string("%.5f 美元", px)).otherwise(tiny))
+    big = F.replace(F.concat(X.fixed(px / 10000, 2), F.lit(" 万")), F.lit(".00 万"), F.lit(" 万"))
+    tiny = F.regexp_replace(X.fixed(px, 8), "0+$", "")
+    return (F.when(px >= 10000, F.concat(big, F.lit("美元"))).when(px >= 100, _yuan(X.fixed(px, 2, True)))
+            .when(px >= 1, _yuan(X.fixed(px, 3))).when(px >= 0.01, _yuan(X.fixed(px, 5))).otherwise(_yuan(tiny)))
 
 
 def level_text(px: Column) -> Column:
     v = px / 10000
-    whole = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.1f", v))
-    mid = F.when(px == F.floor(px), F.format_string("%,.0f", px)).otherwise(F.format_string("%,.2f", px))
-    small = F.regexp_replace(F.format_string("%.6f", px), r"\.?0+$", "")
-    return F.concat(F.when(px >= 10000, F.concat(whole, F.lit(" 万"))).when(px >= 1, F.concat(mid, F.lit(" ")))
-                    .otherwise(F.concat(small, F.lit(" "))), F.lit("美元"))
+    big = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(X.fixed(v, 1))
+    mid = F.when(px == F.floor(px), X.fixed(px, 0, True)).otherwise(X.fixed(px, 2, True))
+    small = F.regexp_replace(X.fixed(px, 6), r"\.?0+$", "")
+    return F.when(px >= 10000, F.concat(big, F.lit(" 万美元"))).when(px >= 1, _yuan(mid)).otherwise(_yuan(small))
 
 
 def usd_text(v: Column) -> Column:
-    return (F.when(v >= 1e8, F.format_string("%.2f 亿美元", v / 1e8)).when(v >= 1e4, F.format_string("%.0f 万美元", v / 1e4))
-            .otherwise(F.format_string("%,.0f 美元", v)))
+    return (F.when(v >= 1e8, F.concat(X.fixed(v / 1e8, 2), F.lit(" 亿美元")))
+            .when(v >= 1e4, F.concat(X.fixed(v / 1e4, 0), F.lit(" 万美元"))).otherwise(_yuan(X.fixed(v, 0, True))))
 
 
 def move_items(moves: DataFrame, tickers: DataFrame, now, page: str) -> DataFrame:
@@ -219,7 +222,7 @@ def move_items(moves: DataFrame, tickers: DataFrame, now, page: str) -> DataFram
     t = tickers.select(F.col("symbol").alias("_s"), "last", "quote_volume", "change_pct")
     j = moves.join(t, F.col("symbol") == F.col("_s"))
     verb = F.when(F.col("direction") == "up", "上涨").otherwise("下跌")
-    title = F.concat(F.col("base"), F.lit(" 24 小时"), verb, F.lit(" "), F.format_string("%.1f", F.col("magnitude")), F.lit("%，现报 "),
+    title = F.concat(F.col("base"), F.lit(" 24 小时"), verb, F.lit(" "), X.fixed(F.col("magnitude"), 1), F.lit("%，现报 "),
                      price_text(F.col("last")), F.lit("，24 小时成交额 "), usd_text(F.col("quote_volume")))
     stamp = F.date_format(T.wall(now), "yyyyMMdd'T'HH")
     return j.select(F.lit("MarketSignal").alias("source"), title.alias("title"),

@@ -153,6 +153,11 @@ def _tile_pairs(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold
     return met.select("a_tile", "b_tile").distinct()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so a table can meet itself in one cogroup."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile, Tile, Match], pd.DataFrame],
               schema: str, threshold: float, *, window_hours: float | None = None, missing_time: str = "pass",
               strict: bool = False, past_only: bool = False, tile_rows: int = TILE_ROWS,
@@ -181,13 +186,13 @@ def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile,
     sides = [left] if symmetric else [left, right]
     if all(side.limit(tile_rows + 1).count() <= tile_rows for side in sides):
         a = left.withColumn("pair", F.lit("")).withColumn("same", F.lit(True))
-        b = (left if symmetric else right).withColumn("pair", F.lit(""))
+        b = fresh(left if symmetric else right).withColumn("pair", F.lit(""))
         return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(meet, schema)
 
     centre = _pick_pivots(left, pivots)
     cut = [cut_lineage(_cut_into_tiles(_with_cells(side, centre), window_hours, tile_rows)) for side in sides]
     tiles_a = cut[0]
-    tiles_b = cut[-1].select(*[F.col(c).alias(c) for c in cut[-1].columns])
+    tiles_b = fresh(cut[-1])
     pairs = cut_lineage(_tile_pairs(tiles_a, tiles_b, centre, threshold, window_hours, missing_time, symmetric))
     pair = F.concat_ws("#", "a_tile", "b_tile").alias("pair")
     a = tiles_a.join(pairs, tiles_a["tile"] == pairs["a_tile"]).select(

@@ -65,14 +65,14 @@ def asset_class(symbol: Column, name: Column, coin_id: Column) -> Column:
 def cap_label(cap: Column) -> Column:
     out = F.when(cap.isNull() | (cap <= 0), "—")
     for unit, div in (("T", 1e12), ("B", 1e9), ("M", 1e6), ("K", 1e3)):
-        out = out.when(cap >= div, F.format_string("$%.2f" + unit, cap / div))
-    return out.otherwise(F.format_string("$%.0f", cap))
+        out = out.when(cap >= div, F.concat(F.lit("$"), X.fixed(cap / div, 2), F.lit(unit)))
+    return out.otherwise(F.concat(F.lit("$"), X.fixed(cap, 0)))
 
 
 def btc_ratio_label(ratio: Column) -> Column:
-    return (F.when(ratio.isNull(), "—").when(ratio >= 1, F.format_string("BTC 市值的 %.2f 倍", ratio))
-            .when(ratio >= 0.0001, F.format_string("BTC 市值的 %.2f%%（%.4f 倍）", ratio * 100, ratio))
-            .otherwise(F.format_string("BTC 市值的 %.4f%%（%.6f 倍）", ratio * 100, ratio)))
+    pct = lambda a, b: F.concat(F.lit("BTC 市值的 "), X.fixed(ratio * 100, a), F.lit("%（"), X.fixed(ratio, b), F.lit(" 倍）"))
+    return (F.when(ratio.isNull(), "—").when(ratio >= 1, F.concat(F.lit("BTC 市值的 "), X.fixed(ratio, 2), F.lit(" 倍")))
+            .when(ratio >= 0.0001, pct(2, 4)).otherwise(pct(4, 6)))
 
 
 def coin_index(universe: DataFrame, pinned: DataFrame, exchange: DataFrame, btc_symbol: str = "BTC") -> DataFrame:

@@ -237,7 +237,8 @@ def verdicts(events: DataFrame, profile: DataFrame, disputes: DataFrame | None =
     flags = F.concat("time_flags", F.array_compact(F.array(
         F.when(F.col("n_folded") > 0, F.lit("REPOST_FOLDED")), F.when(rumor, F.lit("LLM_RUMOR")),
         F.when(disputed, F.lit("CONTRADICTED")), F.when(lone, F.lit("SINGLE_LOW_TRUST_SOURCE")))))
-    return e.withColumn("verification_score", F.round(X.clamp(score), 4)).withColumn(
+    return e.withColumn("verification_raw", X.clamp(score)).withColumn(
+        "verification_score", F.round("verification_raw", 4)).withColumn(
         "verification_status", status).withColumn("verification_flags", flags).withColumn(
         "disputed", disputed).drop("_n")
 

@@ -64,14 +64,14 @@ def _(f):
 @job("ded05_normalized_titles", r"""
 SELECT id, regexp_replace(CASE id % 4
   WHEN 0 THEN '净流出<' || CAST(CAST(floor((n + 0.5) * 100000000) AS BIGINT) AS STRING) || '>美元' WHEN 1 THEN 'raises<' || CAST((n * 1000000) AS STRING) || '>today'
-  WHEN 2 THEN '<' || CAST(n * 1000 + 500 AS STRING) || '>btcmoved' ELSE 'nonumbers' || lang END, ' ', '') AS title_key
+  WHEN 2 THEN '<' || CAST(n * 1000 + 500 AS STRING) || '>xrpmoved' ELSE 'nonumbers' || lang END, ' ', '') AS title_key
 FROM (SELECT id, id % 900 + 1 AS n, lang FROM news_events)
 """, "news_events")
 def _(f):
     n = (F.col("id") % 900 + 1).cast("string")
     title = (F.when(F.col("id") % 4 == 0, F.concat(F.lit("PANews 消息，净流出 "), n, F.lit(".5 亿美元")))
              .when(F.col("id") % 4 == 1, F.concat(F.lit(" Raises $"), n, F.lit("M - today!")))
-             .when(F.col("id") % 4 == 2, F.concat(n, F.lit(",500 BTC moved"))).otherwise(F.concat(F.lit("No 'numbers': "), "lang")))
+             .when(F.col("id") % 4 == 2, F.concat(n, F.lit(",500 XRP moved"))).otherwise(F.concat(F.lit("No 'numbers': "), "lang")))
     return f.news_events.select("id", X.normalize_title(title).alias("title_key"))
 
 
@@ -114,14 +114,13 @@ TITLE_NORM = "regexp_replace(lower(title_en), '[^\\p{L}\\p{N}<>]+', '', 'g')"
 
 
 @job("ded09_clusters", rf"""
-WITH RECURSIVE k AS (SELECT id, event_fingerprint AS fp FROM news_events),
+WITH RECURSIVE k AS (SELECT id, event_fingerprint AS fp, regexp_replace(lower(title_en), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM news_events),
 e AS ({PAIRS} UNION SELECT x.id, y.id FROM k AS x JOIN k AS y ON x.fp = y.fp AND x.id < y.id
-  UNION SELECT x.id, y.id FROM (SELECT id, title_en FROM news_events) AS x JOIN (SELECT id, title_en FROM news_events) AS y
-    ON lower(x.title_en) = lower(y.title_en) AND x.id < y.id),
+  UNION SELECT x.id, y.id FROM k AS x JOIN k AS y ON x.t = y.t AND x.t <> '' AND x.id < y.id),
 n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(id, seen) AS (SELECT id, id FROM news_events UNION SELECT reach.id, n.b FROM reach JOIN n ON reach.seen = n.a WHERE n.b < reach.id OR true)
+reach(id, seen) AS (SELECT id, id FROM k UNION SELECT reach.id, n.b FROM reach JOIN n ON reach.seen = n.a)
 SELECT id, min(seen) AS cluster FROM reach GROUP BY id
-""".replace("WITH RECURSIVE k", "WITH k"), "news_events")
+""", "news_events")
 def _(f):
     return DD.cluster_items(f.news_events, threshold=THR)
 
@@ -222,7 +221,7 @@ def _(f):
 
 
 @job("ded16_similarity_groups", f"""
-WITH s AS (SELECT vec_id AS id, embedding FROM embeddings),
+WITH RECURSIVE s AS (SELECT vec_id AS id, embedding FROM embeddings),
 e AS (SELECT a.id AS a, b.id AS b FROM s AS a JOIN s AS b ON a.id <> b.id AND {COS(a='a', b='b')} >= {THR}),
 reach(id, seen) AS (SELECT id, id FROM s UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.seen = e.a),
 c AS (SELECT id, min(seen) AS first_member FROM reach GROUP BY id)
@@ -230,7 +229,7 @@ SELECT x.id, x.first_member, count(y.id) + 1 AS size, round(CASE WHEN count(y.id
   ELSE avg({COS(a='p', b='q')}) END, 5) AS mean_similarity
 FROM c AS x JOIN s AS p ON p.id = x.id LEFT JOIN c AS y ON y.first_member = x.first_member AND y.id <> x.id LEFT JOIN s AS q ON q.id = y.id
 GROUP BY x.id, x.first_member
-""".replace("WITH s", "WITH RECURSIVE s"))
+""")
 def _(f):
     rows = vector_rows(f.embeddings, "vec_id", "embedding")
     return DD.similarity_groups(rows, THR).select("id", "first_member", "size", F.round("mean_similarity", 5).alias("mean_similarity"))

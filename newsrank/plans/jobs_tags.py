@@ -181,9 +181,9 @@ def _(f):
 
 
 @job("tag11_tradable_counts", f"""
-WITH {INDEX}, {MENTIONS}, c AS (SELECT id, m.symbol, xp IS NOT NULL AS t FROM m JOIN idx ON idx.symbol = m.symbol
+WITH {INDEX}, {MENTIONS}, ce AS (SELECT id, m.symbol, xp IS NOT NULL AS t FROM m JOIN idx ON idx.symbol = m.symbol
   WHERE status = 'ok' AND m.symbol NOT IN ('C7', 'C8'))
-SELECT id, count(*) FILTER (t) AS tradable_count FROM c GROUP BY id
+SELECT id, count(*) FILTER (t) AS tradable_count FROM ce GROUP BY id
 """, "coin_universe news_events")
 def _(f):
     coins = TG.coin_entities(TG.resolve_coins(f.news_events, _index(f), EQUITIES))

@@ -196,7 +196,8 @@ def news_events(w) -> str:
     s2 = w.struct(name="'X/user' || CAST(d.doc_id % 40 AS STRING)", url="'https://x.example.com/s/' || CAST(d.doc_id AS STRING)",
                   type="'x'", authority="CAST(3 AS INT)", x_tweet_id=tweet)
     s3 = w.struct(name="'src' || CAST((k + 1) % 20 AS STRING)", url="'https://wire.example.net/' || CAST(d.doc_id AS STRING)",
-                  type="'rss'", authority="CAST(5 AS INT)", x_tweet_id="CAST(NULL AS BIGINT)")
+                  type="'rss'", authority="CAST(5 AS INT)",
+                  x_tweet_id=f"CASE WHEN d.doc_id % 5 = 0 THEN {tweet} END")
     coin = lambda e: f"'C' || CAST({e} AS STRING)"
     sector = lambda e: _pick(e, _quoted(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]))
     tag = lambda name, rel, anchor: w.struct(sector=name, relevance=rel, anchor=anchor)
@@ -404,6 +405,7 @@ def duck(query: str, *views: str) -> str:
     """Checker SQL: ``query`` may open with its own WITH list after the views."""
     head = with_views(DuckWords, *views)
     body = query.strip()
-    if head and body.upper().startswith("WITH "):
-        return f"{head},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if head and body.startswith(opening):
+            return f"{opening}{head[5:]},\n{body[len(opening):]}"
     return f"{head}\n{body}"

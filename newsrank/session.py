@@ -18,6 +18,7 @@ def build_session(app: str = "newsrank", master: str | None = None, partitions:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if partitions:
         conf["spark.sql.shuffle.partitions"] = str(partitions)
