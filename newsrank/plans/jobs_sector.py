@@ -53,11 +53,11 @@ def _judgments(f):
 
 
 REL = """rel AS (SELECT scr.*, CASE WHEN l.doc_id IS NULL THEN NULL ELSE ['EVENT', 'DATA', 'ANALYSIS', 'ROUNDUP', 'PROMO', 'PRICE_NOISE'][id % 6 + 1] END AS genre,
-    COALESCE(round(least(CASE id % 6 WHEN 2 THEN 0.85 WHEN 3 THEN 0.2 WHEN 4 THEN 0.3 WHEN 5 THEN 0.4 ELSE 1.0 END,
+    CASE WHEN l.doc_id IS NULL THEN 0 ELSE round(least(CASE id % 6 WHEN 2 THEN 0.85 WHEN 3 THEN 0.2 WHEN 4 THEN 0.3 WHEN 5 THEN 0.4 ELSE 1.0 END,
     least(1, 0.5 * least(1, quality * 0.6 + (id % 5) / 10.0) + 0.3 * ((id % 11) / 10.0) + 0.2 * least(1, (id % 7) / 6.0 * CASE WHEN toxic = 0 THEN 1.5 ELSE 1 END)),
     CASE WHEN (id + r_regionkey) % 3 = 2 THEN 0.4 WHEN (id + r_regionkey) % 3 = 1 AND (id + r_regionkey) % 2 <> 0
       THEN CASE WHEN kind = 'chain' THEN 0.4 ELSE 0.55 END ELSE 1 END,
-    CASE WHEN NOT list_contains(tickers, 'C' || CAST(id % 25 AS STRING)) AND (id % 11) / 10.0 < 0.5 THEN 0.3 ELSE 1 END), 4), 0) AS rel
+    CASE WHEN NOT list_contains(tickers, 'C' || CAST(id % 25 AS STRING)) AND (id % 11) / 10.0 < 0.5 THEN 0.3 ELSE 1 END), 4) END AS rel
   FROM scr JOIN region ON r_name = sector LEFT JOIN labels AS l ON l.doc_id = id WHERE {p} >= {t})""".format(p=PRE, t=PASS)
 SCORE = f"""sco AS (SELECT *, CASE WHEN rel < 0.5 THEN 0 ELSE round(pow(rel, 1.5) * (0.25 * {TIME(t='published')} + 0.25 * {HOT(b='b')} + 0.20 * {AUTH}
   + 0.30 * {IMPACT}), 4) END AS score, {AUTH} AS au FROM rel, (SELECT {BASELINE(src='cand')} AS b))"""

@@ -103,9 +103,9 @@ def _interest(f):
 
 
 @job("sig07_interest_jumps", f"""
-WITH {TIERED}, h AS (SELECT 'C' || CAST(user_id % 60 AS STRING) AS b, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS at, round(sum(value) * 1e6, 2) AS oi FROM events GROUP BY 1, 2),
-g AS (SELECT *, lag(oi) OVER w AS po, date_diff('second', lag(at) OVER w, at) / 3600.0 AS hrs FROM h WHERE oi > 0 WINDOW w AS (PARTITION BY b ORDER BY at))
-SELECT b AS base, strftime(at, '%Y-%m-%d %H') AS at, COALESCE(tier, 'T3') AS tier, CASE WHEN oi > po THEN 'up' ELSE 'down' END AS direction,
+WITH {TIERED}, h AS (SELECT 'C' || CAST(user_id % 60 AS STRING) AS b, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hr_at, round(sum(value) * 1e6, 2) AS oi FROM events GROUP BY 1, 2),
+g AS (SELECT *, lag(oi) OVER w AS po, date_diff('second', lag(hr_at) OVER w, hr_at) / 3600.0 AS hrs FROM h WHERE oi > 0 WINDOW w AS (PARTITION BY b ORDER BY hr_at))
+SELECT b AS base, strftime(hr_at, '%Y-%m-%d %H') AS "at", COALESCE(tier, 'T3') AS tier, CASE WHEN oi > po THEN 'up' ELSE 'down' END AS direction,
   round(abs((oi - po) / po * 100), 4) AS magnitude FROM g LEFT JOIN t ON symbol = b || 'USDT'
 WHERE oi >= 20000000 AND hrs BETWEEN 1.5 AND 12 AND abs((oi - po) / po * 100) >= 30
 """, "tickers")
@@ -191,11 +191,11 @@ def _(f):
 def _state(f):
     return f.supplier.select(
         F.concat(F.lit("price_move:C"), F.col("s_suppkey").cast("string"), F.lit("USDT:up")).alias("key"),
-        (F.col("s_acctbal") / 400).alias("magnitude"), F.timestamp_add("HOUR", -(F.col("s_suppkey") % 24), T.wall(AT)).alias("at"))
+        (F.col("s_acctbal") / 100).alias("magnitude"), F.timestamp_add("HOUR", -(F.col("s_suppkey") % 24), T.wall(AT)).alias("at"))
 
 
 @job("str03_cooldown", f"""
-WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, abs(s_acctbal / 400) AS m, s_suppkey % 24 AS h FROM supplier)
+WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, abs(s_acctbal / 100) AS m, s_suppkey % 24 AS h FROM supplier)
 SELECT key FROM (SELECT 'price_move:' || symbol || ':' || CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS key, abs(change_pct) AS mag
   FROM lim WHERE abs(change_pct) >= lim) LEFT JOIN st ON k = key WHERE k IS NULL OR h >= 12 OR mag >= m + 8
 """, "tickers")
@@ -204,7 +204,7 @@ def _(f):
 
 
 @job("str04_state_after_run", f"""
-WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, s_acctbal / 400 AS m, s_suppkey % 24 AS h FROM supplier),
+WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, s_acctbal / 100 AS m, s_suppkey % 24 AS h FROM supplier),
 kept AS (SELECT 'price_move:' || symbol || ':' || CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS key, abs(change_pct) AS mag
   FROM lim WHERE abs(change_pct) >= lim)
 SELECT key, round(mag, 4) AS magnitude FROM kept UNION ALL SELECT k, round(m, 4) FROM st WHERE k NOT IN (SELECT key FROM kept) AND h <= 12

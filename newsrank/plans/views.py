@@ -292,7 +292,7 @@ def candles(w) -> str:
     return f"""
 SELECT symbol, day, max(price) AS high, min(price) AS low, round(sum(amount), 2) AS quote_volume
 FROM (SELECT 'C' || CAST(l_partkey % 20 AS STRING) AS symbol, CAST(l_shipdate AS DATE) AS day,
-             l_extendedprice / l_quantity AS price, l_extendedprice AS amount
+             l_extendedprice / l_quantity / 20 AS price, l_extendedprice AS amount
       FROM lineitem) AS t
 GROUP BY symbol, day
 """
@@ -318,10 +318,11 @@ FROM customer
 
 
 def shocks(w) -> str:
-    """Daily range of each coin in the event log, with its shock level."""
+    """Daily range of each coin in the event log, as percent of the coin's mean range, with its shock level."""
     return """
-SELECT coin, day, rng, CASE WHEN rng > 95 THEN 2 WHEN rng > 85 THEN 1 ELSE 0 END AS shock
-FROM (SELECT coin, day, CAST(max(value) - min(value) AS DOUBLE) AS rng FROM behaviour_log GROUP BY coin, day) AS t
+SELECT coin, day, rng, CASE WHEN rng > 135 THEN 2 WHEN rng > 115 THEN 1 ELSE 0 END AS shock
+FROM (SELECT coin, day, 100 * r / avg(r) OVER (PARTITION BY coin) AS rng
+      FROM (SELECT coin, day, CAST(max(value) - min(value) AS DOUBLE) AS r FROM behaviour_log GROUP BY coin, day) AS t) AS u
 """
 
 
