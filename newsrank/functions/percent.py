@@ -10,21 +10,17 @@ from .. import dictionaries as D
 
 def percent_marks(text: Column) -> Column:
     """Every percent in the text as (value, start, stop), with zero-based character positions."""
-    marks = F.regexp_extract_all(text, F.lit(D.PERCENT), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(D.PERCENT), F.lit(1))
-    between = F.split(text, D.PERCENT, -1)
+    part = lambda k: F.regexp_extract_all(text, F.lit(D.PERCENT), F.lit(k))
+    found = F.arrays_zip(part(0).alias("mark"), part(1).alias("value"), F.split(text, D.PERCENT, -1).alias("before"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<value:double,start:int,stop:int>>").alias("out"))
 
-    def width(parts: Column, upto: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0), lambda acc, p: acc + F.length(p))
+    def walk(acc: Column, m: Column) -> Column:
+        begin = acc["pos"] + F.length(m["before"])
+        stop = begin + F.length(m["mark"])
+        entry = F.struct(m["value"].try_cast("double").alias("value"), begin.alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    def mark(i: Column) -> Column:
-        start = width(between, i + 1) + width(marks, i)
-        return F.struct(F.get(values, i).try_cast("double").alias("value"), start.alias("start"),
-                        (start + F.length(F.get(marks, i))).alias("stop"))
-
-    steps = F.when(F.size(marks) > 0, F.sequence(F.lit(0), F.size(marks) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(steps, mark)
+    return F.aggregate(F.filter(found, lambda m: m["mark"].isNotNull()), start, walk, lambda acc: acc["out"])
 
 
 def _before(text: Column, start: Column, width: int) -> Column:

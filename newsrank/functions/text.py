@@ -37,21 +37,20 @@ def round_exact(value: Column, digits: int) -> Column:
 
 def canonical_numbers(text: Column) -> Column:
     """Rewrite every number with its unit as ``<integer>`` so spellings of one amount agree."""
-    raw = F.regexp_extract_all(text, F.lit(D.NUMBER_PATTERN), F.lit(0))
-    digits = F.regexp_extract_all(text, F.lit(D.NUMBER_PATTERN), F.lit(1))
-    units = F.regexp_extract_all(text, F.lit(D.NUMBER_PATTERN), F.lit(2))
+    part = lambda k: F.regexp_extract_all(text, F.lit(D.NUMBER_PATTERN), F.lit(k))
     between = F.split(text, D.NUMBER_PATTERN, -1)
+    found = F.arrays_zip(part(0).alias("raw"), part(1).alias("digits"), part(2).alias("unit"),
+                         F.slice(between, F.lit(2), F.size(between)).alias("after"))
 
-    def rewrite(i: Column) -> Column:
-        unit = F.coalesce(F.try_element_at(map_literal(D.NUMBER_UNITS), F.get(units, i)), F.lit(1.0))
-        value = F.replace(F.get(digits, i), F.lit(","), F.lit("")).try_cast("double") * unit
+    def rewrite(m: Column) -> Column:
+        unit = F.coalesce(F.try_element_at(map_literal(D.NUMBER_UNITS), m["unit"]), F.lit(1.0))
+        value = F.replace(m["digits"], F.lit(","), F.lit("")).try_cast("double") * unit
         whole = F.when(value < 9e18, value.cast("bigint").cast("string")).otherwise(
             value.try_cast("decimal(38,0)").cast("string"))
-        return F.concat(F.coalesce(F.concat(F.lit("<"), whole, F.lit(">")), F.get(raw, i)),
-                        F.get(between, i + F.lit(1)))
+        return F.concat(F.coalesce(F.concat(F.lit("<"), whole, F.lit(">")), m["raw"]), F.coalesce(m["after"], F.lit("")))
 
-    steps = F.when(F.size(raw) > 0, F.sequence(F.lit(0), F.size(raw) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(steps, rewrite), ""))
+    return F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(F.filter(
+        found, lambda m: m["raw"].isNotNull()), rewrite), ""))
 
 
 def normalize_title(title: Column) -> Column:

@@ -69,24 +69,28 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     return grams
 
 
+def title_text(title: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", " "))
+
+
 def title_vectors(items: DataFrame, order: str, title: str) -> DataFrame:
-    """Sparse TF-IDF of each distinct title: (g, grams, weights), grams from rare to common.
+    """Sparse TF-IDF of each distinct title: (g, x) with x = (df, gram, w) from rare to common grams.
 
     ``g`` is the first order of the title; document counts take every row into account.
     """
-    norm = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", " "))
-    titles = items.select(F.col(order).alias("o"), norm.alias("t")).groupBy("t").agg(
-        F.min("o").alias("g"), F.count("*").alias("copies"))
-    n_rows = items.agg(F.count("*").alias("n_rows"))
-    counts = titles.select("g", "copies", F.explode(char_grams(F.col("t"))).alias("gram")).groupBy(
-        "g", "copies", "gram").agg(F.count("*").alias("tf"))
+    titles = cut_lineage(items.select(F.col(order).alias("o"), title_text(title).alias("t")).groupBy("t").agg(
+        F.min("o").alias("g"), F.count("*").alias("copies")))
+    n_rows = titles.agg(F.sum("copies").alias("n_rows"))
+    counts = cut_lineage(titles.select("g", "copies", F.explode(char_grams(F.col("t"))).alias("gram")).groupBy(
+        "g", "copies", "gram").agg(F.count("*").alias("tf")))
     df = counts.groupBy(F.col("gram").alias("dgram")).agg(F.sum("copies").alias("df")).crossJoin(F.broadcast(n_rows))
     idf = df.select("dgram", "df", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(idf, F.col("gram") == F.col("dgram")).select(
-        "g", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
-    rows = weighted.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    norm2 = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return rows.select("g", F.col("xs.gram").alias("grams"), F.transform("xs", lambda x: x["w"] / norm2).alias("weights"))
+        "g", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
+    rows = weighted.groupBy("g").agg(F.array_sort(F.collect_list("e")).alias("x"),
+                                     F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("norm"))
+    return rows.select("g", F.transform("x", lambda e: F.struct(
+        e["df"].alias("df"), e["gram"].alias("gram"), (e["w"] / F.col("norm")).alias("w"))).alias("x"))
 
 
 def title_pairs(vectors: DataFrame, threshold: float = D.TITLE_COSINE) -> DataFrame:
@@ -94,20 +98,32 @@ def title_pairs(vectors: DataFrame, threshold: float = D.TITLE_COSINE) -> DataFr
 
     Prefix filter: grams are ordered from rare to common, and a title is indexed only by its front
     grams, those needed until the rest of the vector is shorter than the threshold. Two titles
-    above it must share a front gram, so only such pairs are ever compared.
+    above it must share a front gram, so only such pairs are looked at. A second bound then drops
+    most of them before any vector is read: what the shared front grams add up to, plus the longest
+    the two rests can be. Of the title whose front ends first the whole front is out of the rest; of
+    the other one everything up to the last shared gram is.
     """
-    # tail[i] = squared length of the vector from gram i on; keep grams while tail[i] >= threshold^2
-    tail = F.aggregate("weights", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("keep")),
-                       lambda acc, w: F.struct((acc["left"] - w * w).alias("left"),
-                                               (acc["keep"] + F.when(acc["left"] >= threshold ** 2 - 1e-9, 1)
-                                                .otherwise(0)).alias("keep")))
-    front = vectors.withColumn("keep", tail["keep"])
-    index = front.select("g", F.explode(F.slice("grams", F.lit(1), F.col("keep"))).alias("gram"))
-    a = index.select(F.col("g").alias("a"), "gram")
-    b = index.select(F.col("g").alias("b"), "gram")
-    met = a.join(b, "gram").where("a < b").select("a", "b").distinct()
-    left = vectors.select(F.col("g").alias("a"), F.col("grams").alias("ga"), F.col("weights").alias("wa"))
-    right = vectors.select(F.col("g").alias("b"), F.col("grams").alias("gb"), F.col("weights").alias("wb"))
+    start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<double>").alias("cum"))
+    cum = F.aggregate("x", start, lambda acc, e: F.struct(
+        (acc["mass"] + e["w"] * e["w"]).alias("mass"),
+        F.when(1.0 - acc["mass"] >= threshold ** 2 - 1e-9, F.concat(acc["cum"], F.array(acc["mass"] + e["w"] * e["w"])))
+        .otherwise(acc["cum"]).alias("cum")))["cum"]
+    front = vectors.withColumn("cum", cum).withColumn("n", F.size("cum"))
+    end = F.element_at("x", F.col("n"))
+    index = front.select("g", F.struct(end["df"].alias("df"), end["gram"].alias("gram")).alias("end"),
+                         F.element_at("cum", -1).alias("full"),
+                         F.explode(F.arrays_zip(F.slice("x", F.lit(1), F.col("n")).alias("e"), F.col("cum").alias("c"))).alias("z"))
+    index = cut_lineage(index.select("g", "end", "full", "z.e.gram", "z.e.w", F.col("z.c").alias("cum")))
+    side = lambda n: index.select("gram", *[F.col(c).alias(f"{c}_{n}") for c in ("g", "end", "full", "w", "cum")])
+    met = side("a").join(side("b"), "gram").where("g_a < g_b").groupBy("g_a", "g_b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("shared"), F.max("cum_a").alias("cum_a"), F.max("cum_b").alias("cum_b"),
+        F.first("full_a").alias("full_a"), F.first("full_b").alias("full_b"), F.first(F.col("end_a") <= F.col("end_b")).alias("a_first"))
+    mass_a = F.when(F.col("a_first"), F.col("full_a")).otherwise(F.col("cum_a"))
+    mass_b = F.when(F.col("a_first"), F.col("cum_b")).otherwise(F.col("full_b"))
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - mass_a) * F.greatest(F.lit(0.0), 1 - mass_b))
+    met = met.where(F.col("shared") + rest > threshold - 1e-9).select(F.col("g_a").alias("a"), F.col("g_b").alias("b"))
+    left = vectors.select(F.col("g").alias("a"), F.col("x.gram").alias("ga"), F.col("x.w").alias("wa"))
+    right = vectors.select(F.col("g").alias("b"), F.col("x.gram").alias("gb"), F.col("x.w").alias("wb"))
 
     @F.pandas_udf("double")
     def dot(ga: pd.Series, wa: pd.Series, gb: pd.Series, wb: pd.Series) -> pd.Series:
@@ -126,8 +142,7 @@ def prefilter_titles(items: DataFrame, order: str, title: str = "title", authori
     """Items left after the ordered near-duplicate pass on titles."""
     vectors = cut_lineage(title_vectors(items, order, title))
     pairs = title_pairs(vectors, threshold)
-    norm = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", " "))
-    rows = items.select(F.col(order).alias("o"), norm.alias("t"), F.coalesce(authority, F.lit(0)).alias("auth"))
+    rows = items.select(F.col(order).alias("o"), title_text(title).alias("t"), F.coalesce(authority, F.lit(0)).alias("auth"))
     groups = rows.groupBy("t").agg(F.min("o").alias("g"))
     # a title without letters has an all-zero vector and is a duplicate of nothing, itself included
     empty = rows.where("t = ''").select("o")
@@ -150,6 +165,12 @@ def prefilter_vectors(items: DataFrame, order: str, vec: str = "embedding", auth
 
 # --- vectors -----------------------------------------------------------------------------------
 
+def unit_vector(vec: Column, kind: str = "double") -> Column:
+    """The vector at length one, or as it is when it is all zero. The length is worked out once, in the finish step."""
+    return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x, lambda a: F.transform(
+        vec, lambda x: F.when(a > 1e-18, x / F.sqrt(a)).otherwise(x).cast(kind)))
+
+
 def fill_vectors(items: DataFrame, cached: DataFrame, computed: DataFrame, size: int = 256) -> DataFrame:
     """Cached vector when it has the right size, else the computed one made unit length, else zeros."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
@@ -157,8 +178,7 @@ def fill_vectors(items: DataFrame, cached: DataFrame, computed: DataFrame, size:
                     F.col("url_hash") == F.col("_c"), "left")
          .join(computed.select(F.col("url_hash").alias("_m"), F.col("embedding").alias("_mv")),
                F.col("url_hash") == F.col("_m"), "left"))
-    norm = F.greatest(F.lit(1e-9), F.sqrt(F.aggregate("_mv", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
-    unit = F.transform("_mv", lambda x: (x / norm).cast("float"))
+    unit = unit_vector(F.col("_mv"), "float")
     return j.withColumn("embedding", F.when(F.size("_cv") == size, F.col("_cv")).when(F.size("_mv") == size, unit)
                         .otherwise(zeros)).withColumn(
         "vector_from", F.when(F.size("_cv") == size, "cache").when(F.size("_mv") == size, "computed")
@@ -229,9 +249,7 @@ def centroids(rows: DataFrame, key: str = "cluster", vec: str = "embedding") ->
     parts = rows.where(F.col(vec).isNotNull()).select(key, F.posexplode(vec).alias("i", "x"))
     means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     arr = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return arr.select(key, F.when(norm > 1e-9, F.transform("v", lambda x: (x / norm).cast("float"))).otherwise(
-        F.col("v").cast("array<float>")).alias(vec))
+    return arr.select(key, unit_vector(F.col("v"), "float").alias(vec))
 
 
 # --- merge with what is stored ----------------------------------------------------------------------
@@ -403,8 +421,7 @@ def similarity_groups(rows: DataFrame, threshold: float = D.COSINE_SAME_EVENT, *
     """
     links = similar_links(rows, threshold, **kw)
     c = cluster_of(rows.select("id"), links)
-    unit = rows.join(c, "id").withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
-    unit = unit.select("id", "cluster", F.transform("vec", lambda x: x / F.col("norm")).alias("u"))
+    unit = rows.join(c, "id").select("id", "cluster", unit_vector(F.col("vec")).alias("u"))
     sums = unit.select("cluster", F.posexplode("u").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("s"))
     sums = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"])
                                        .alias("total"))

@@ -1,7 +1,7 @@
 """Graph and ordered-selection loops built from joins and grouped minima.
 
 No loop collects a group: each round is a fixed number of aggregations and joins, and its result
-is written to the checkpoint folder before the next one.
+is written to the shared folder before the next one.
 """
 
 from __future__ import annotations

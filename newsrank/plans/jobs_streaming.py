@@ -1,10 +1,11 @@
 """Streaming jobs run to the end of the given tables (STR)."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import times as T
+from ..session import shared_folder
 from ..streaming import ingest as IN
 from .jobs_sources import ISO_TS
 from .registry import job
@@ -14,13 +15,8 @@ GATE = "2024-01-21 00:00:00"
 
 
 def _scratch(spark, name):
-    """A new folder for this run: under the shared checkpoint folder where the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder for this run."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stored(spark, stream, name):
