@@ -143,11 +143,11 @@ def _(f):
 
 POOL = """pool AS (SELECT *, row_number() OVER (ORDER BY pt DESC, id) AS pool_order FROM (
   SELECT *, COALESCE(time_event, CAST(date AS TIMESTAMP), time_get_data) AS pt FROM news_events)
-  WHERE pt >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY ORDER BY pt DESC, id LIMIT 1200)"""
+  WHERE pt >= TIMESTAMP '2024-02-01' - INTERVAL 40 DAY ORDER BY pt DESC, id LIMIT 1200)"""
 
 
 def _pool(f):
-    return cut_lineage(RK.candidate_pool(f.news_events, NOW, 20))   # at most 1200 rows, read several times
+    return cut_lineage(RK.candidate_pool(f.news_events, NOW, 40))   # at most 1200 rows, read several times
 
 
 @job("rnk01_candidate_pool", f"WITH {POOL} SELECT id, pool_order FROM pool", "news_events")
