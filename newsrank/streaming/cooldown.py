@@ -54,7 +54,9 @@ class Cooldown(StatefulProcessor):
 def cooldown_stream(signals: DataFrame, ttl_days: int = 30) -> DataFrame:
     """Signals (key, kind, magnitude, at) that may go out.
 
-    Needs the RocksDB state store provider on the session.
+    Needs the RocksDB state store provider on the session; a run-once query also needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``, as state with a time to live asks for
+    empty batches without end.
     """
     return signals.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Cooldown(ttl_days), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")

@@ -57,6 +57,8 @@ def test_may_emit(kind, magnitude, hours, previous, want):
 def test_cooldown_stream(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # state with a time to live keeps asking for empty batches, which would keep a run-once query alive
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     t0 = dt.datetime(2024, 1, 1)
     rows = [("k1", "price_move", 10.0, t0), ("k1", "price_move", 12.0, t0 + dt.timedelta(hours=2)),
@@ -66,8 +68,11 @@ def test_cooldown_stream(spark):
     try:
         q = cooldown_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/c").trigger(
             availableNow=True).start(f"{base}/out")
-        q.awaitTermination()
+        done = q.awaitTermination(60)
+        q.stop()
+        assert done
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = sorted((r.key, r.magnitude) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == [("k1", 10.0), ("k1", 18.5), ("k2", 5e6)]
