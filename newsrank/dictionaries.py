@@ -60,8 +60,8 @@ MOVE_WORDS = (
     r"(?i)涨|跌|升|降|飙|挫|崩|泻|反弹|回调|走高|走低|翻倍|腰斩|重挫|大涨|大跌|"
     r"surge|plunge|jump|drop|fall|rise|gain|lose|rally|slump|soar|sink|"
     r"climb|tumble|spike|crash|dip|advance|decline|up|down")
-EXTREME_WORDS = (r"(?i)熔断|崩盘|暴跌|暴涨|涨停|跌停|重挫|狂飙|闪崩|清零|归零|"
-                 r"circuit breaker|crash|plunge|plummet|soar|surge|collapse|rout")
+EXTREME_WORDS = ["熔断", "崩盘", "暴跌", "暴涨", "涨停", "跌停", "重挫", "狂飙", "闪崩", "清零", "归零", "circuit breaker", "crash",
+                 "plunge", "plummet", "soar", "surge", "collapse", "rout"]
 
 # --- fixed values: gates ------------------------------------------------------------------
 MAX_AGE_DAYS = 7

@@ -53,7 +53,7 @@ def percent_move(text: Column) -> Column:
     """Largest percent in (0, 100] that reads as a price move; null when there is none."""
     t = F.coalesce(text, F.lit(""))
     kept = F.filter(percent_marks(t), lambda m: _is_move(t, m))
-    return F.array_max(F.transform(kept, lambda m: m["value"]))
+    return F.when(F.contains(t, F.lit("%")), F.array_max(F.transform(kept, lambda m: m["value"])))
 
 
 def joined(*parts: Column) -> Column:

@@ -50,7 +50,11 @@ def breadth(level: Column) -> Column:
 
 
 def magnitude_band(pct: Column, text: Column) -> Column:
-    return (F.when(F.coalesce(text, F.lit("")).rlike(D.EXTREME_WORDS), 1.0)
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    extreme = F.lit(False)
+    for word in D.EXTREME_WORDS:
+        extreme |= F.contains(lowered, F.lit(word))
+    return (F.when(extreme, 1.0)
             .when(pct >= 15, 1.0).when(pct >= 8, 0.75).when(pct >= 4, 0.55).when(pct >= 2, 0.35)
             .otherwise(0.10))
 

@@ -106,17 +106,25 @@ def _with_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _cut_into_tiles(rows: DataFrame, window: float | None, tile_rows: int) -> DataFrame:
-    """Add the time bucket, the salt inside a crowded cell, and the tile name."""
+    """Add the time bucket, the salt inside a crowded cell, and the tile name.
+
+    A bucket that fits into one tile stays whole: its cell is -1 and its angle is the widest one.
+    """
     bucket = F.floor(F.col("hours") / F.lit(float(window))) if window is not None else F.lit(0)
     rows = rows.withColumn("bucket", bucket.cast("long"))
-    sizes = rows.groupBy(*[F.col(c).alias(f"s_{c}") for c in ("grp", "bucket", "cell")]).agg(
-        F.ceil(F.count("*") / F.lit(tile_rows)).alias("salts"))
+    cells = rows.groupBy(*[F.col(c).alias(f"s_{c}") for c in ("grp", "bucket", "cell")]).agg(F.count("*").alias("n"))
+    whole = cells.groupBy(F.col("s_grp").alias("t_grp"), F.col("s_bucket").alias("t_bucket")).agg(F.sum("n").alias("whole"))
+    sizes = cells.join(whole, F.col("s_grp").eqNullSafe(F.col("t_grp")) & F.col("s_bucket").eqNullSafe(F.col("t_bucket"))).select(
+        "s_grp", "s_bucket", "s_cell", (F.col("whole") <= tile_rows).alias("small"),
+        F.ceil(F.col("n") / F.lit(tile_rows)).alias("salts"))
     keys = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in ("grp", "bucket", "cell")]
+    small = F.col("small")
     return (rows.join(sizes, keys[0] & keys[1] & keys[2])
-            .select(*rows.columns, "salts")
-            .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-            .withColumn("tile", F.concat_ws("|", "grp", F.coalesce(F.col("bucket").cast("string"), F.lit("-")),
-                                            "cell", "salt")))
+            .withColumn("salt", F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))))
+            .withColumn("angle", F.when(small, F.lit(math.pi)).otherwise(F.col("angle")))
+            .withColumn("cell", F.when(small, F.lit(-1)).otherwise(F.col("cell")))
+            .select(*rows.columns, F.concat_ws("|", "grp", F.coalesce(F.col("bucket").cast("string"), F.lit("-")), "cell", "salt")
+                    .alias("tile")))
 
 
 def _tile_pairs(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: float,
@@ -132,7 +140,8 @@ def _tile_pairs(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold
     k = len(pivots)
     spark = left.sparkSession
     angles = spark.createDataFrame(
-        [(i, j, float(between[i, j])) for i in range(k) for j in range(k)], "a_cell int, b_cell int, apart double")
+        [(i, j, float(between[i, j]) if min(i, j) >= 0 else 0.0) for i in range(-1, k) for j in range(-1, k)],
+        "a_cell int, b_cell int, apart double")
     timed = a.where("a_bucket IS NOT NULL").withColumn("b_bucket", F.explode(F.array(
         *[F.col("a_bucket") + F.lit(s) for s in (-1, 0, 1)])))
     same_grp = F.col("a_grp") == F.col("b_grp")
