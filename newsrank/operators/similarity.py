@@ -194,8 +194,8 @@ def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile,
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     sides = [left] if symmetric else [left, right]
     if all(side.limit(tile_rows + 1).count() <= tile_rows for side in sides):
-        a = left.withColumn("pair", F.lit("")).withColumn("same", F.lit(True))
-        b = fresh(left if symmetric else right).withColumn("pair", F.lit(""))
+        a = left.withColumn("pair", F.col("grp")).withColumn("same", F.lit(True))
+        b = fresh(left if symmetric else right).withColumn("pair", F.col("grp"))
         return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(meet, schema)
 
     centre = _pick_pivots(left, pivots)

@@ -74,6 +74,15 @@ def test_nearest(spark, tile_rows):
     assert got == {i: 100 + int(c[i].argmax()) for i in range(100)}
 
 
+@pytest.mark.parametrize("tile_rows", [4096, 25])
+def test_groups_never_mix(spark, tile_rows):
+    v, h = vectors(n=120)
+    df = frame(spark, v, h).withColumn("k", (F.col("id") % 3).cast("string"))
+    rows = vector_rows(df, "id", "v", F.col("h"), group=F.col("k"))
+    got = {(r.a, r.b) for r in similar_pairs(rows, 0.8, window_hours=48.0, missing_time="block", tile_rows=tile_rows, pivots=4).collect()}
+    assert got == {(a, b) for a, b in truth(v, h, 0.8, 48, "block") if a % 3 == b % 3}
+
+
 def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
