@@ -72,7 +72,7 @@ EVENT_MAX_FUTURE_DAYS = 400
 MIN_BODY_CHARS = 25
 AGGREGATOR_TYPES = ("web_search",)
 NON_MEDIA_TYPES = ("social", "web_search", "market_signal", "calendar")
-DISABLED_SOURCES = ("BinanceSquare",)
+DISABLED_SOURCES: tuple[str, ...] = ()   # a deployment names its own
 EXCLUDED_MARKET = (r"(?i)(?<![A-Za-z])A股|沪指|沪深|上证|深证|深成指|中证\d|创业板|科创板|科创50|北证50|北交所|"
                    r"上交所|深交所|中国股市|中国股票|中国内地股|陆股(?!通)|"
                    r"chinese stocks?|china stocks?|china'?s stock market|china equit")
@@ -174,8 +174,5 @@ PRIORITY_MACRO = ["CNBC-TopNews", "CNBC-Economy", "CNBC-Investing", "CNBC-Financ
                   "SCMP-GlobalEcon", "SCMP-Business", "KoreaHerald", "Reuters", "Bloomberg", "Bloomberg-Markets",
                   "Bloomberg-Economics", "Bloomberg-Technology", "Bloomberg-Politics", "Forbes-Business",
                   "WSJ-Markets", "FT-Home", "Benzinga"]
-PRIORITY_CRYPTO = ["CoinDesk", "TheBlock", "吴说区块链", "BlockBeats快讯", "币安上币公告", "market_signal"]
+PRIORITY_CRYPTO = ["CoinDesk", "TheBlock", "吴说区块链", "BlockBeats快讯", "market_signal"]
 INDEX_SYMBOLS = ["SPX", "DJI", "IXIC", "RUT", "VIX", "SPY", "QQQ", "DIA", "IWM"]
-
-# --- fixed values: token prices per million (input, cached input, output) ---------------------
-REQUIRED_ENRICH_KEYS = ["title_en", "title_zh", "event_tier"]

@@ -144,14 +144,17 @@ def first_by_post_key(posts: DataFrame, order: str) -> DataFrame:
     return keyed.withColumn("_p", place).where("_p <= 1").drop("_p")
 
 
-def staging_priority() -> Column:
-    """Queue priority of an item: macro desks, index symbols, crypto desks, others, single names."""
+def staging_priority(macro: list[str] = D.PRIORITY_MACRO, crypto: list[str] = D.PRIORITY_CRYPTO) -> Column:
+    """Queue priority of an item: macro desks, index symbols, crypto desks, others, single names.
+
+    A deployment adds the announcement channels it trusts to ``crypto``.
+    """
     source = T.strip(F.coalesce("source", F.lit("")))
     symbols = F.transform(F.split(F.coalesce("matched_symbols", F.lit("")), ","), T.strip)
     index = F.arrays_overlap(symbols, F.array(*[F.lit(s) for s in D.INDEX_SYMBOLS]))
-    return (F.when(source.isin(*D.PRIORITY_MACRO), 0)
+    return (F.when(source.isin(*macro), 0)
             .when(source.startswith("dxFeed"), F.when(index, 1).otherwise(4))
-            .when(source.isin(*D.PRIORITY_CRYPTO) | (F.col("type") == "market_signal"), 2).otherwise(3))
+            .when(source.isin(*crypto) | (F.col("type") == "market_signal"), 2).otherwise(3))
 
 
 def feed_predicate(now, sector=None, source=None, news_type=None, scope=None, tier=None, is_rumor=None,
