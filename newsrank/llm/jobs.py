@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
 
 ORACLES: dict[str, str] = {}
@@ -19,10 +20,15 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(read(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near duplicates of each document."""
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words hit by benchmark windows, the items found and the verdict, for each document."""
     found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     return found.drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_near_duplicates, op10_decontamination)}
