@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -20,6 +22,15 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(read(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and verdict of each document; labels of the held-out quarter are never read."""
+    docs = read(spark, folder, "documents")
+    model = toxicity.fit(docs, read(spark, folder, "labels"), held_out=(4, 2))
+    return toxicity.score_toxicity(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The group of near duplicates of each document."""
     return near_duplicates(read(spark, folder, "documents"))
@@ -31,4 +42,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op6_near_duplicates, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op10_decontamination)}
