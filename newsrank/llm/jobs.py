@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import kd_shards, pieces, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -17,6 +17,27 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, written with revisits for repeated payloads and read back."""
+    rows = warc.archive(read(spark, folder, "pages"), keep_text=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS dig FROM p),
+o AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY dig) END AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, dig AS payload_digest,
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM o"""
+
+
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece numbers of each document and the digest of the text decoded from them."""
+    return pieces.encode(read(spark, folder, "documents"), keep=["doc_id"], check=True)
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Removed bytes, runs and the digest of what is left, for each document."""
     return repeated_spans(read(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -36,10 +57,17 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op9_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty shards of near equal bytes."""
+    rows = kd_shards.shard(read(spark, folder, "documents"), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words hit by benchmark windows, the items found and the verdict, for each document."""
     found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     return found.drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op9_kd_shards, op10_decontamination)}
