@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, pieces, toxicity, warc
+from . import kd_shards, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -57,6 +57,15 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op8_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score and verdict of each document; labels of the held-out fifth are never read."""
+    docs = read(spark, folder, "documents")
+    model = rule_quality.fit(docs, read(spark, folder, "labels"), held_out=(5, 0))
+    return rule_quality.score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Forty shards of near equal bytes."""
     rows = kd_shards.shard(read(spark, folder, "documents"), 40)
@@ -70,4 +79,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op9_kd_shards, op10_decontamination)}
+    op1_warc, op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op8_rule_quality, op9_kd_shards, op10_decontamination)}
