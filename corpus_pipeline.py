@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsrank.llm import kernels, suffix_dedup
+from newsrank.llm import decontaminate, kernels, neardup, pieces, suffix_dedup, toxicity
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score is 0.3 or more."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +22,17 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(docs)
 
 
-STAGES = [("suffix_dedup", repeats)]
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece numbers of each text, and whether they decode to it."""
+    return pieces.encode(docs, check=True)
+
+
+STAGES = [("toxicity", harmless), ("minhash_near_dedup", single), ("suffix_dedup", repeats), ("decontamination", untested), ("sentencepiece", encoded)]
 
 #: The stages are not expressible in SQL; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
