@@ -1,9 +1,9 @@
 """Document quality by a sparse ensemble of rules over text statistics.
 
-Statistics of a whole text are built-in column expressions. On at most ``sample_rows`` labelled rows (those with the
+Twenty statistics of a whole text come from array kernels over its bytes. On at most ``sample_rows`` labelled rows (those with the
 smallest hash of their id) shallow trees are boosted; every path from a root is a rule, a conjunction of
 thresholds; a logistic model with an L1 penalty keeps few of them. The kept rules are compiled into one column
-expression, so every document is scored inside Spark's own code and nothing is shuffled.
+expression over the statistics, and nothing is shuffled.
 
 Null and empty texts have all statistics 0 and a score like any other. Labels that are null or whose doc_id is null
 are not used; of several labels of one document the highest counts. Without both kinds of labels the score is the
@@ -13,6 +13,7 @@ share of good labels (0.5 without any). Extra columns stay.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,31 +23,74 @@ from . import kernels as K
 FUNCTION_WORDS = "the and of to in is for that with der die und das ist von den mit le la les et des est que el los las por una del".split()
 
 
-def _share(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
-
-
-def _left(text: Column, drop: str) -> Column:
-    """Number of characters that stay when ``drop`` is taken out."""
-    return F.length(F.regexp_replace(text, drop, ""))
+# fixed values: byte classes; continuation bytes (0) belong to the character before them
+_OTHER, _SMALL, _UPPER, _DIGIT, _SPACE, _STOP, _COMMA, _QUOTE, _LINK = range(1, 10)
+_CLASS = np.full(256, _OTHER, np.int64)
+_CLASS[0x80:0xC0], _CLASS[0xC0:] = 0, _SMALL
+for _chars, _kind in ((range(97, 123), _SMALL), (range(65, 91), _UPPER), (b"0123456789", _DIGIT), (b" \t\n\r\x0b\x0c", _SPACE), (b".!?", _STOP), (b",;:", _COMMA), (b"'\"()-", _QUOTE), (b"@/", _LINK)):
+    _CLASS[list(_chars)] = _kind
+_IN_LINE = np.arange(256) != 10
+N_STATS = 20
+
+
+def _count(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of true entries of ``kind`` in each row."""
+    total = np.append(0, np.cumsum(kind))
+    return total[at[1:]] - total[at[:-1]]
+
+
+def _distinct(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    n = len(at) - 1
+    row = np.repeat(np.arange(n), np.diff(at))
+    _, first = np.unique(K.mix(hashes + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    return np.bincount(row[first], minlength=n)
+
+
+def text_statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """One row of figures for each text."""
+    n = len(offs) - 1
+    if not len(data):
+        return np.zeros((n, N_STATS))
+    kind = _CLASS[data]
+    c = np.bincount(np.repeat(np.arange(n) * 10, np.diff(offs)) + kind, minlength=10 * n).reshape(n, 10).astype(float)
+    chars, letters = c[:, 1:].sum(axis=1), c[:, _SMALL] + c[:, _UPPER]
+    sums = K.prefix_sums(data, _CODES)
+    starts, ends, at = K.word_spans(data, offs, K.SPACED)
+    words, size = np.diff(at).astype(float), ends - starts
+    hashes = K.span_hash(sums, starts, ends)
+    so_far = np.append(0, np.cumsum((kind == _SMALL) | (kind == _UPPER)))
+    bare = so_far[ends] == so_far[starts]
+    l0, l1, lat = K.word_spans(data, offs, _IN_LINE)
+    lines = np.diff(lat).astype(float)
+    share = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
+    return np.column_stack([
+        np.log1p(chars), np.log1p(words), share(letters, chars), share(c[:, _UPPER], chars), share(c[:, _DIGIT], chars), share(c[:, _OTHER], chars),
+        share(c[:, _STOP], words), share(c[:, _COMMA], words), share(c[:, _SPACE], chars), share(c[:, _LINK], words), share(chars, words), share(_distinct(hashes, at), words),
+        share(_distinct(K.span_hash(sums, l0, l1), lat), lines), share(words, lines), np.log1p(lines), share(_count(np.isin(hashes, _KNOWN), at), words),
+        share(_count(size <= 2, at), words), share(_count(size >= 14, at), words), share(_count(bare, at), words),
+        share(_count(kind[l1 - 1] == _STOP, lat) if len(l1) else np.zeros(n), lines)])
+
+
+_CODES = K.byte_codes(5)
+_KNOWN = np.array([K.span_hash(K.prefix_sums(b, _CODES), np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(w.encode(), np.uint8) for w in FUNCTION_WORDS)])
+
+
+def _stats(names: list[str]):
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offs in K.text_chunks(batch):
+                flat = text_statistics(data, offs).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * N_STATS, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in names] + [lists], [*names, "stats"])
+    return run
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the array column ``stats``."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"__t": text, "__w": F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), "__l": F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
-    t, w, lines = F.col("__t"), F.col("__w"), F.col("__l")
-    rows = rows.withColumns({"__n": F.length(t), "__nw": F.size(w), "__nl": F.size(lines)})
-    n, nw, nl = F.col("__n"), F.col("__nw"), F.col("__nl")
-    letters = _left(t, r"[^\p{L}]+")
-    plain = F.transform(w, lambda x: F.regexp_replace(x, r"[^\p{L}]+", ""))
-    stats = [F.log1p(n), F.log1p(nw), _share(letters, n), _share(_left(t, r"[^\p{Lu}]+"), n), _share(_left(t, r"[^0-9]+"), n),
-             _share(_left(t, r"[\p{L}\p{N}\s.,;:!?'\"()-]+"), n), _share(_left(t, r"[^.!?]+"), nw), _share(_left(t, r"[^,;:]+"), nw), _share(_left(t, r"[^\s]+"), n),
-             _share(n, nw), _share(F.size(F.array_distinct(w)), nw), _share(F.size(F.array_distinct(lines)), nl), _share(nw, nl), F.log1p(nl),
-             _share(F.size(F.filter(plain, lambda x: x.isin(FUNCTION_WORDS))), nw), _share(F.size(F.filter(w, lambda x: F.length(x) <= 2)), nw),
-             _share(F.size(F.filter(w, lambda x: F.length(x) >= 14)), nw), _share(F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))), nw),
-             _share(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?]\s*$"))), nl), _share(F.size(F.filter(w, lambda x: x.rlike(r"^https?:|www\.|@"))), nw)]
-    return rows.withColumn("stats", F.array(*[s.cast("double") for s in stats])).drop("__t", "__w", "__l", "__n", "__nw", "__nl")
+    """``docs`` without text, with the array column ``stats``."""
+    keep = [c for c in docs.columns if c not in ("text", "stats")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["stats array<double>"])
+    return docs.select(*[f"`{c}`" for c in keep], "text").mapInArrow(_stats(keep), schema)
 
 
 def _best_cut(x: np.ndarray, r: np.ndarray, least: int):
@@ -166,4 +210,4 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0),
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """``docs`` without text, with the column ``score`` (one of that name is replaced)."""
-    return statistics(docs).withColumn("score", model.score()).drop("stats", "text")
+    return statistics(docs).withColumn("score", model.score()).drop("stats")
