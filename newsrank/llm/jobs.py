@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, pieces, rule_quality, toxicity, warc
+from . import kd_shards, learned_ann, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -38,6 +38,11 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(read(spark, folder, "documents"), keep=["doc_id"], check=True)
 
 
+def op3_learned_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest vectors found for every vector whose id is divisible by 20."""
+    return learned_ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Removed bytes, runs and the digest of what is left, for each document."""
     return repeated_spans(read(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -79,4 +84,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op8_rule_quality, op9_kd_shards, op10_decontamination)}
+    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op8_rule_quality, op9_kd_shards, op10_decontamination)}

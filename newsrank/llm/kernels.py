@@ -154,3 +154,21 @@ def drop_folder(spark, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+HOT_KEYS = 1000
+
+
+def spread_join(rows, table, key: str):
+    """Left join of ``rows`` with ``table`` (one row a key, and its frequency in ``rows`` as ``n``), safe for hot keys.
+
+    The thousand most frequent keys, the only ones that can hold more than a thousandth of the rows, come by
+    broadcast (at most 1,000 small rows); the other rows are joined by a shuffle. ``rows`` should be stored.
+    """
+    from pyspark.sql import functions as F
+
+    hot = table.orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    is_hot = F.broadcast(hot.select(key))
+    first = rows.join(F.broadcast(hot.drop("n")), key)
+    rest = rows.join(is_hot, key, "left_anti").join(table.drop("n").join(is_hot, key, "left_anti"), key, "left")
+    return first.unionByName(rest)
