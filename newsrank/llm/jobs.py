@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, learned_ann, pieces, rule_quality, toxicity, warc
+from . import kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -62,6 +62,19 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of each document, its own or its folder's.
+
+    A document lies at source/lang/doc_id; one of at most 60 words that names a licence is its folder's licence file.
+    """
+    docs = read(spark, folder, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    # sixty words have at most 59 gaps: a short text is told without splitting a long one
+    short = F.when(F.length("text") < 1000, F.size(F.split("text", r"\s+")) <= 60).otherwise(False)
+    rows = licences.scan(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text", short.alias("is_licence_file")))
+    return rows.withColumnRenamed("file", "doc_id")
+
+
 def op8_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score and verdict of each document; labels of the held-out fifth are never read."""
     docs = read(spark, folder, "documents")
@@ -84,4 +97,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op8_rule_quality, op9_kd_shards, op10_decontamination)}
+    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination)}
