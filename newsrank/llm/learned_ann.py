@@ -7,7 +7,7 @@
    probable part and sends a query to its ``probes`` most probable parts. ``probes`` is the smallest number that finds
    ``target`` of the true neighbours on the sample.
 4. Part by part, in blocks of bounded size, queries meet candidates and are reranked on the original vectors. A query's
-   (k+1)-th best score within the sample is a true lower bound, so only better rows leave a block.
+   (k+1)-th best score within the sample rows of its parts is a true lower bound, so only better rows leave a block.
 
 The number of parts grows with the number of classes. Only the sample, the classifier and one-row figures reach
 the driver; the sample travels to the tasks (at most ``sample_rows`` vectors).
@@ -120,6 +120,7 @@ class Router:
             np.add.at(want, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 0.5 / graph.shape[1])
         self.weights = softmax_fit(x, want)
         self.parts = parts
+        self.home = self.ranked(sample)[:, 0]
         # probes that find the wanted share of the true neighbours of sample vectors
         own = self.ranked(sample)
         place = np.empty_like(own)
@@ -132,12 +133,15 @@ class Router:
         """Parts of each row, the most probable first."""
         return np.argsort(-(x / self.scale @ self.weights[:-1] + self.weights[-1]), axis=1, kind="stable")
 
-    def bound(self, x: np.ndarray) -> np.ndarray:
-        """The (k+1)-th best score of each row within the sample, a little lowered for rounding."""
+    def bound(self, x: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """The (k+1)-th best score of each row within the sample rows of its probed parts, a little lowered for rounding."""
         if len(self.sample) <= self.k:
             return np.full(len(x), -np.inf)
-        s = np.partition(x @ self.sample.T, -self.k - 1, axis=1)[:, -self.k - 1]
-        return s - 1e-9 * (1 + np.abs(s))
+        near = np.zeros((len(x), self.parts), bool)
+        np.put_along_axis(near, probed, True, axis=1)
+        s = np.where(near[:, self.home], x @ self.sample.T, -np.inf)
+        s = np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1]
+        return np.where(np.isfinite(s), s - 1e-9 * (1 + np.abs(s)), -np.inf)
 
 
 def _matrix(column) -> np.ndarray:
@@ -153,7 +157,7 @@ def _route(router: Router, queries: bool):
                 ranked = router.ranked(x)
                 packed = [v.tobytes() for v in x]
                 if queries:
-                    yield pd.DataFrame({"c": g["c"].to_numpy(), "vec": packed, "parts": list(ranked[:, :router.probes].astype(np.int32)), "bound": router.bound(x)})
+                    yield pd.DataFrame({"c": g["c"].to_numpy(), "vec": packed, "parts": list(ranked[:, :router.probes].astype(np.int32)), "bound": router.bound(x, ranked[:, :router.probes])})
                 else:
                     yield pd.DataFrame({"c": g["c"].to_numpy(), "vec": packed, "part": ranked[:, 0].astype(np.int32)})
     return run
@@ -169,7 +173,8 @@ def _rerank(k: int):
                 s = x[a:a + 256] @ c.T
                 low = bound[a:a + 256]
                 if s.shape[1] > k + 1:
-                    low = np.maximum(low, np.partition(s, -k - 1, axis=1)[:, -k - 1] - 1e-9 * (1 + np.abs(low)))
+                    top = np.partition(s, -k - 1, axis=1)[:, -k - 1]
+                    low = np.maximum(low, top - 1e-9 * (1 + np.abs(top)))
                 i, j = np.nonzero(s >= low[:, None])
                 out.append(pd.DataFrame({"q": q[a + i], "c": names[j], "score": np.einsum("ij,ij->i", x[a + i], c[j])}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "score": np.zeros(0)})
