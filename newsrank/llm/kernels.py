@@ -145,7 +145,7 @@ def scratch(spark) -> str:
 def stored(df, path: str | None = None, partition_by: str | None = None):
     """``df`` written to the shared folder and read back: lineage is cut and work is done once."""
     path = path or scratch(df.sparkSession)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
