@@ -96,7 +96,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def authority_pass(rows: DataFrame, group_edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def authority_pass(rows: DataFrame, group_edges: DataFrame) -> DataFrame:
     """Orders of the rows kept by the ordered duplicate pass.
 
     ``rows`` has (o, g, auth): order, group of equal texts, authority. ``group_edges`` has (a, b):
@@ -115,9 +115,7 @@ def authority_pass(rows: DataFrame, group_edges: DataFrame, max_rounds: int = 10
     kept = [rows.join(busy, "g", "left_anti").select("o")]
     waiting = cut_lineage(rows.join(busy, "g", "left_semi"))
     near = cut_lineage(both.unionByName(busy.select(F.col("g").alias("a"), F.col("g").alias("b"))))
-    for _ in range(max_rounds):
-        if waiting.isEmpty():
-            return _union(kept)
+    while not waiting.isEmpty():
         first = waiting.groupBy("g").agg(F.min("o").alias("o"))
         one = near.join(first, F.col("b") == F.col("g")).groupBy("a").agg(F.min("o").alias("o"))
         two = near.join(one.withColumnRenamed("a", "n"), F.col("b") == F.col("n")).groupBy("a").agg(
@@ -133,7 +131,7 @@ def authority_pass(rows: DataFrame, group_edges: DataFrame, max_rounds: int = 10
             F.col("b").alias("g"), "by", F.coalesce("stop", F.lit(2 ** 62)).alias("upto"))
         left = waiting.join(reach, "g", "left").where("by IS NULL OR (o != by AND o >= upto)")
         waiting = cut_lineage(left.select("o", "g", "auth"))
-    raise RuntimeError("ordered pass did not settle")
+    return _union(kept)
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
