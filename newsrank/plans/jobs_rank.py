@@ -212,19 +212,28 @@ MOOD = f"""mw AS (SELECT *, importance_score * {MARKET} * {FRESH} AS w FROM {{sr
 mood AS (SELECT sum(sentiment_score * w) / sum(w) AS raw, round(sum(sentiment_score * w) / sum(w), 3) AS mood, count(*) AS n FROM mw)""".format
 
 
+MOOD_NOW = "2024-01-12 00:00:00"      # a busy day of the table: what had been fetched by then
+DAY = f"(SELECT * FROM news_events WHERE time_get_data BETWEEN TIMESTAMP '{MOOD_NOW}' - INTERVAL 24 HOUR AND TIMESTAMP '{MOOD_NOW}')"
+DAY_MOOD = MOOD(src=DAY).replace("TIMESTAMP '2024-02-01'", f"TIMESTAMP '{MOOD_NOW}'")
+
+
+def _fetched(f):
+    return f.news_events.where(C("time_get_data") <= T.wall(MOOD_NOW))
+
+
 @job("rnk07_market_mood", f"""
-WITH {MOOD(src='news_events')} SELECT mood AS mood_score, CASE WHEN raw >= 0.5 THEN 'extreme_bullish' WHEN raw >= 0.15 THEN 'bullish'
-  WHEN raw >= -0.15 THEN 'neutral' WHEN raw >= -0.5 THEN 'bearish' ELSE 'extreme_bearish' END AS label, n AS sample_size, true AS available FROM mood
+WITH {DAY_MOOD} SELECT mood AS mood_score, CASE WHEN raw >= 0.5 THEN 'extreme_bullish' WHEN raw >= 0.15 THEN 'bullish'
+  WHEN raw >= -0.15 THEN 'neutral' WHEN raw >= -0.5 THEN 'bearish' ELSE 'extreme_bearish' END AS label, n AS sample_size, n > 0 AS available FROM mood
 """, "news_events")
 def _(f):
-    return RK.market_mood(f.news_events, NOW).select("mood_score", "label", "sample_size", "available")
+    return RK.market_mood(_fetched(f), MOOD_NOW, hours=24).select("mood_score", "label", "sample_size", "available")
 
 
 @job("rnk07_mood_top", f"""
-WITH {MOOD(src='news_events')} SELECT id FROM mw, mood WHERE (sentiment_score >= 0) = (raw >= 0) ORDER BY abs(sentiment_score) * w DESC, id LIMIT 3
+WITH {DAY_MOOD} SELECT id FROM mw, mood WHERE (sentiment_score >= 0) = (raw >= 0) ORDER BY abs(sentiment_score) * w DESC, id LIMIT 3
 """, "news_events")
 def _(f):
-    return RK.mood_top(f.news_events, NOW).select("id")
+    return RK.mood_top(_fetched(f), MOOD_NOW, hours=24).select("id")
 
 
 ALIGN = "CASE WHEN sentiment_score IS NOT NULL AND (sentiment_score >= 0) = (mood >= 0) THEN 0.25 * abs(mood) * abs(sentiment_score) ELSE 0 END"
