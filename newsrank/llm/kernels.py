@@ -142,12 +142,24 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df, path: str | None = None, partition_by: str | None = None):
-    """``df`` written to the shared folder and read back: lineage is cut and work is done once."""
-    path = path or scratch(df.sparkSession)
+    """``df`` written to the shared folder and read back: lineage is cut and work is done once.
+
+    What the write shuffled is freed when it ends, for nothing reads it again.
+    """
+    spark = df.sparkSession
+    path = path or scratch(spark)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_folder(spark, path: str) -> None:

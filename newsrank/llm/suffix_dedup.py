@@ -354,26 +354,29 @@ def repeated_spans(docs: DataFrame, length: int = 400, cover_order: int = 13, se
     buckets = total // seed_bucket_bytes + 1
 
     seeds = rows.select("key", "text").mapInArrow(_seed_blobs(length, period, cover, buckets), BLOBS)
-    ranked = (seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-              .mapInArrow(_seed_ranks(period), "key bigint, spans binary")
-              .groupBy("key").agg(F.collect_list("spans").alias("spans")))
+    ranked = K.stored(seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+                      .mapInArrow(_seed_ranks(period), "key bigint, spans binary")
+                      .groupBy("key").agg(F.collect_list("spans").alias("spans")))
     plan = classes.join(ranked, "key", "left").select("digest", "copies", "first", "spans")
     joined = rows.join(plan, "digest").withColumn("lead", F.col("doc_id").eqNullSafe(F.col("first")))
     joined = joined.select("doc_id", "digest", "n_bytes", "copies", "text", "lead", F.when(F.col("lead"), F.col("spans")).alias("spans"))
-    work = K.stored(joined.mapInArrow(_zones(length), "doc_id bigint, digest binary, n_bytes bigint, copies bigint, text string, zone binary, n_zone bigint"))
+    folder = K.scratch(spark)
+    work = K.stored(joined.mapInArrow(_zones(length), "doc_id bigint, digest binary, n_bytes bigint, copies bigint, text string, zone binary, n_zone bigint"), folder)
 
     candidates = work.agg(F.sum("n_zone")).first()[0] or 0
     buckets = candidates // suffix_bucket + 1
     zoned = work.where("zone is not null")
     names = zoned.select(F.xxhash64("digest").alias("key"), "text", "zone").mapInArrow(_suffix_blobs(length, buckets), BLOBS)
-    ties = (names.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_suffix_ties, "key bigint, spans binary")
-            .groupBy("key").agg(F.collect_list("spans").alias("spans")))
+    ties = K.stored(names.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_suffix_ties, "key bigint, spans binary")
+                    .groupBy("key").agg(F.collect_list("spans").alias("spans")))
     single = zoned.where("copies = 1").withColumn("key", F.xxhash64("digest")).join(ties, "key", "left")
     rest = work.where("zone is null or copies > 1").withColumn("spans", F.lit(None).cast("array<binary>"))
     cols = ["doc_id", "digest", "n_bytes", "copies", "text", "spans"]
     rest = rest.withColumn("text", F.lit(None).cast("string"))
-    return (single.select(cols).unionByName(rest.select(cols))
-            .mapInArrow(_settle(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, digest binary"))
+    out = K.stored(single.select(cols).unionByName(rest.select(cols))
+                   .mapInArrow(_settle(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, digest binary"))
+    K.drop_folder(spark, folder)
+    return out
 
 
 def _cut_text(batches):
