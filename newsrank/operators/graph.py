@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 
 
 def key_links(df: DataFrame, id: str, key) -> DataFrame:
@@ -19,6 +19,7 @@ def key_links(df: DataFrame, id: str, key) -> DataFrame:
     return keyed.join(first, "k").where("a != b").select("a", "b")
 
 
+@settled
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node on an edge; the root is the smallest node of its component.
 
@@ -53,6 +54,7 @@ def cluster_of(ids: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("root", "id").alias("cluster"))
 
 
+@settled
 def ordered_caps(rows: DataFrame, order: str, caps: dict[str, int]) -> DataFrame:
     """Orders of the rows an ordered pass keeps.
 
@@ -96,6 +98,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+@settled
 def authority_pass(rows: DataFrame, group_edges: DataFrame) -> DataFrame:
     """Orders of the rows kept by the ordered duplicate pass.
 
@@ -134,6 +137,7 @@ def authority_pass(rows: DataFrame, group_edges: DataFrame) -> DataFrame:
     return _union(kept)
 
 
+@settled
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matching: pairs by falling similarity, each side used once.
 

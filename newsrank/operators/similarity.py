@@ -23,6 +23,7 @@ from ..session import cut_lineage
 
 TILE_ROWS = 2048
 PIVOTS = 64
+BLOCK_ROWS = 64          # left rows of a tile pair whose matches are held at a time
 _SLACK = 1e-4
 
 
@@ -56,17 +57,18 @@ def _tile(pdf: pd.DataFrame) -> Tile:
                 pdf["hours"].to_numpy(dtype=np.float64), pdf)
 
 
-def _match(a: Tile, b: Tile, threshold: float, strict: bool, window: float | None, missing: str,
+def _match(a: Tile, b: Tile, rows: slice, threshold: float, strict: bool, window: float | None, missing: str,
            past_only: bool) -> Match:
-    rough = a.vec.astype(np.float32) @ b.vec.astype(np.float32).T
-    i, j = np.nonzero(rough >= threshold - _SLACK)
-    cos = np.einsum("ij,ij->i", a.vec[i], b.vec[j])
-    ok = cos > threshold if strict else cos >= threshold
+    """Matches of some rows of the left tile: time first, then a rough product, then the exact cosine of what is left."""
+    may = a.vec[rows].astype(np.float32) @ b.vec.astype(np.float32).T >= threshold - _SLACK
     if window is not None:
-        gap = a.hours[i] - b.hours[j]
-        known = ~np.isnan(gap)
+        gap = a.hours[rows, None] - b.hours
         near = (gap > 0) & (gap <= window) if past_only else np.abs(gap) <= window
-        ok &= np.where(known, near, missing == "pass")
+        may &= np.where(np.isnan(gap), missing == "pass", near)
+    i, j = np.nonzero(may)
+    i = i + rows.start
+    cos = np.einsum("ij,ij->i", a.vec[i], b.vec[j])
+    ok = cos > threshold if strict else cos >= threshold
     return Match(i[ok], j[ok], cos[ok])
 
 
@@ -88,7 +90,7 @@ def vector_rows(df: DataFrame, id: str, vec: str, hours=None, order: str | None
 def _pick_pivots(rows: DataFrame, k: int) -> np.ndarray:
     """``k`` vectors chosen by hash: a bounded collect, whatever the table size."""
     picked = rows.orderBy(F.xxhash64("id")).select("vec").limit(k).collect()
-    return _units([r["vec"] for r in picked])
+    return _units([r["vec"] for r in picked]) if picked else np.zeros((0, 0))
 
 
 def _with_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -173,7 +175,7 @@ def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile,
               pivots: int = PIVOTS) -> DataFrame:
     """Join vector rows on cosine and time; ``right=None`` joins the table with itself.
 
-    ``reduce`` gets two tiles and their matches. In a self join every unordered pair is met once,
+    ``reduce`` gets two tiles and their matches, a block of left rows at a time. In a self join every unordered pair is met once,
     and the lower order number is on the left. ``missing_time`` says whether a pair with an
     unknown time passes ("pass") or not ("block").
     """
@@ -185,20 +187,20 @@ def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile,
         if len(pa) == 0 or len(pb) == 0:
             return empty
         a, b = _tile(pa), _tile(pb)
-        m = _match(a, b, *opts)
-        if symmetric:
-            m = _once(a, b, m, pa["same"].iloc[0])
-        out = reduce(a, b, m) if len(m.left) else None
-        return empty if out is None or len(out) == 0 else out[names]
+        parts = []
+        for start in range(0, len(a.id), BLOCK_ROWS):
+            m = _match(a, b, slice(start, start + BLOCK_ROWS), *opts)
+            if symmetric:
+                m = _once(a, b, m, pa["same"].iloc[0])
+            if len(m.left):
+                parts.append(reduce(a, b, m)[names])
+        return pd.concat(parts) if parts else empty
 
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     sides = [left] if symmetric else [left, right]
-    if all(side.limit(tile_rows + 1).count() <= tile_rows for side in sides):
-        a = left.withColumn("pair", F.col("grp")).withColumn("same", F.lit(True))
-        b = fresh(left if symmetric else right).withColumn("pair", F.col("grp"))
-        return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(meet, schema)
-
     centre = _pick_pivots(left, pivots)
+    if not len(centre):
+        return left.sparkSession.createDataFrame([], schema)
     cut = [cut_lineage(_cut_into_tiles(_with_cells(side, centre), window_hours, tile_rows)) for side in sides]
     tiles_a = cut[0]
     tiles_b = fresh(cut[-1])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def build_session(app: str = "newsrank", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on; a cluster's own settings win over these."""
@@ -29,22 +34,69 @@ def build_session(app: str = "newsrank", master: str | None = None, partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder; inside ``tidy`` it is dropped at the end."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if getattr(_open, "folders", None):
+        _open.folders[-1].append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Drops the folders that were made inside the block when it ends."""
+    _open.folders = [*getattr(_open, "folders", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.folders.pop():
+            drop_folder(spark, path)
+
+
+def settled(fn):
+    """A step whose result is written to the shared folder, after which its working folders are dropped."""
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        path = new_folder(df.sparkSession, "out")
+        with tidy(df.sparkSession):
+            return cut_lineage(fn(df, *args, **options), path)
+
+    return run
+
+
+#: Frees what a write has shuffled when the write ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; what the write shuffled is freed.
 
     A lost executor then never replays a loop, and the plan of the next round starts at a plain scan.
     (A checkpointed frame keeps the constraints of the plan it came from; in loops of joins they grow
     with every round.)
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or new_folder(spark, "cut")
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
