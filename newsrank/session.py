@@ -10,7 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open = threading.local()
+#: Folders made inside the open ``tidy`` blocks of each thread.
+_open: dict[int, list[list[str]]] = {}
 
 
 def build_session(app: str = "newsrank", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -48,8 +49,8 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A new folder name in the shared folder; inside ``tidy`` it is dropped at the end."""
     path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    if getattr(_open, "folders", None):
-        _open.folders[-1].append(path)
+    if blocks := _open.get(threading.get_ident()):
+        blocks[-1].append(path)
     return path
 
 
@@ -61,11 +62,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 @contextmanager
 def tidy(spark: SparkSession):
     """Drops the folders that were made inside the block when it ends."""
-    _open.folders = [*getattr(_open, "folders", []), []]
+    blocks = _open.setdefault(threading.get_ident(), [])
+    blocks.append([])
     try:
         yield
     finally:
-        for path in _open.folders.pop():
+        for path in blocks.pop():
             drop_folder(spark, path)
 
 
