@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsrank.llm import decontaminate, kernels, neardup, pieces, suffix_dedup, toxicity
+from newsrank.session import SHUFFLE_CLEANUP, drop_folder
+
+
+def freeing(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, whose write frees what it has shuffled: a stage is read again only from its Parquet."""
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    return docs
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +21,12 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return neardup.drop_near_duplicates(docs)
+    return freeing(spark, neardup.drop_near_duplicates(docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes byte runs of 400 and more that occur elsewhere out of the texts."""
-    return suffix_dedup.drop_repeats(docs)
+    return freeing(spark, suffix_dedup.drop_repeats(docs))
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = kernels.stored(stage(spark, docs, sf_dir))
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    try:
+        path = None
+        for _, stage in STAGES:
+            last, path = path, kernels.scratch(spark)
+            docs = kernels.stored(stage(spark, docs, sf_dir), path)
+            if last:
+                drop_folder(spark, last)
+        return docs
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)

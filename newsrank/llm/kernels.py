@@ -6,11 +6,11 @@ single text is longer) and never the partition.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 
+from newsrank.session import cut_lineage, new_folder
+
 CHUNK_BYTES = 2 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -137,35 +137,12 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def scratch(spark) -> str:
     """A new folder name under the shared folder of the session."""
-    from newsrank.session import shared_folder
-
-    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-
+    return new_folder(spark, "llm")
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-
-def stored(df, path: str | None = None, partition_by: str | None = None):
-    """``df`` written to the shared folder and read back: lineage is cut and work is done once.
-
-    What the write shuffled is freed when it ends, for nothing reads it again.
-    """
-    spark = df.sparkSession
-    path = path or scratch(spark)
-    writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def stored(df, path: str | None = None):
+    """``df`` written to the shared folder and read back: lineage is cut, work is done once, and what the write shuffled is freed."""
+    return cut_lineage(df, path or scratch(df.sparkSession))
 
 
 HOT_KEYS = 1000

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsrank.operators.graph import connected_components
+from newsrank.session import settled
 
 from . import kernels as K
 
@@ -224,6 +225,7 @@ def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return sets.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
+@settled
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, coordinates: int = 64, trees: int = 24, depth: int = 4,
                     node_limit: int = 256, deepest: int = 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
@@ -303,5 +305,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, **options) -> DataFram
     groups = near_duplicates(docs, words=words, **options)
     groups = groups.groupBy(key(F.col("doc_id")).alias("__key")).agg(F.max("kept").alias("__kept")).where("__kept")
     rows = docs.withColumn("__key", key(F.col("doc_id"))).join(groups, "__key")
+    # partitioned as the join is: no further shuffle
     copies = Window.partitionBy("__key", F.sha2("text", 256)).orderBy("__key")
     return rows.withColumn("__n", F.row_number().over(copies)).where("__n = 1").select(*docs.columns)

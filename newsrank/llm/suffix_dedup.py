@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsrank.session import settled
+
 from . import kernels as K
 
 GRAM = 16
@@ -334,6 +336,7 @@ def _settle(length: int):
     return run
 
 
+@settled
 def repeated_spans(docs: DataFrame, length: int = 400, cover_order: int = 13, seed_bucket_bytes: int = SEED_BUCKET_BYTES,
                    suffix_bucket: int = SUFFIX_BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, digest) for every row.
@@ -341,7 +344,6 @@ def repeated_spans(docs: DataFrame, length: int = 400, cover_order: int = 13, se
     ``spans`` are the maximal removed byte runs. ``cover_order`` is the prime q of the difference cover
     modulo q*q + q + 1, which must be below ``length``.
     """
-    spark = docs.sparkSession
     cover = singer_cover(cover_order)
     period = cover_order * cover_order + cover_order + 1
     if period > length - GRAM:
@@ -360,8 +362,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, cover_order: int = 13, se
     plan = classes.join(ranked, "key", "left").select("digest", "copies", "first", "spans")
     joined = rows.join(plan, "digest").withColumn("lead", F.col("doc_id").eqNullSafe(F.col("first")))
     joined = joined.select("doc_id", "digest", "n_bytes", "copies", "text", "lead", F.when(F.col("lead"), F.col("spans")).alias("spans"))
-    folder = K.scratch(spark)
-    work = K.stored(joined.mapInArrow(_zones(length), "doc_id bigint, digest binary, n_bytes bigint, copies bigint, text string, zone binary, n_zone bigint"), folder)
+    work = K.stored(joined.mapInArrow(_zones(length), "doc_id bigint, digest binary, n_bytes bigint, copies bigint, text string, zone binary, n_zone bigint"))
 
     candidates = work.agg(F.sum("n_zone")).first()[0] or 0
     buckets = candidates // suffix_bucket + 1
@@ -373,10 +374,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, cover_order: int = 13, se
     rest = work.where("zone is null or copies > 1").withColumn("spans", F.lit(None).cast("array<binary>"))
     cols = ["doc_id", "digest", "n_bytes", "copies", "text", "spans"]
     rest = rest.withColumn("text", F.lit(None).cast("string"))
-    out = K.stored(single.select(cols).unionByName(rest.select(cols))
-                   .mapInArrow(_settle(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, digest binary"))
-    K.drop_folder(spark, folder)
-    return out
+    return (single.select(cols).unionByName(rest.select(cols))
+            .mapInArrow(_settle(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, digest binary"))
 
 
 def _cut_text(batches):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsrank.session import tidy
+
 from . import kernels as K
 
 # fixed values: letters of other scripts that look like Latin ones
@@ -186,8 +188,14 @@ def _specific(terms: dict[str, tuple[int, float]]) -> dict[str, float]:
     return {t: w for t, (pos, w) in terms.items() if not (t.endswith("*") and longer.get(t, 0) >= 0.95 * pos)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: int = 20_000, least_rows: int = 6, least_weight: float = 3.0,
-        max_terms: int = 5_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """The model of ``_fit``; the stored sample is dropped when it is made."""
+    with tidy(docs.sparkSession):
+        return _fit(docs, labels, **options)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: int = 20_000, least_rows: int = 6, least_weight: float = 3.0,
+         max_terms: int = 5_000) -> Model:
     """Lexicon, exceptions and curve from labelled rows whose crc32(doc_id) % held_out[0] is not held_out[1]."""
     train = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .where(F.crc32(F.col("doc_id").cast("string")) % held_out[0] != held_out[1])
