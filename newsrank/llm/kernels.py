@@ -40,6 +40,10 @@ class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, _U)
 
+    def __reduce__(self):
+        """Travels without its tables, which each worker grows again: task code stays small."""
+        return Powers, ()
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, CHUNK_BYTES + 1)
