@@ -1,12 +1,14 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
-Each distinct shingle set has ``coordinates`` minwise tokens. In each of ``trees`` independent trees a set
-walks down a path: the node it stands at picks one coordinate (the same for all sets there) and the set's
-token of that coordinate chooses the branch. After ``depth`` branchings nodes are small for unrelated sets;
-a node of more than ``node_limit`` sets branches on, 1.5 times a level, until its parts are small or much
-alike. Two sets of similarity s stay
-together in one tree with probability s^depth, so with s = 0.8, depth 4 and 24 trees a link is missed
-with probability below 4e-6.
+Each of ``trees`` trees has ``depth`` minwise tokens of its own, one for each level, so that trees are independent:
+a set's tokens of a tree are its path, and two sets of similarity s stay together in one tree with probability
+s^depth. After ``depth`` branchings nodes are small for unrelated sets; a node of more than ``node_limit`` sets
+branches on, twice a level, each time by a minwise token that belongs to this branching alone and is taken
+from the full sets, until its parts are small or much alike.
+
+At s = 0.8, depth 4 and 24 trees a link is missed with probability (1 - 0.8^4)^24 = 3.3e-6 where no node
+branches on. Below a node that does, two branchings a level lose the pair with probability ((1 - s) / s)^2 = 1/16
+at most, however deep they go, so a link is missed with probability below (1 - 0.8^4 * 15/16)^24 = 9e-6 at any depth.
 
 A small node is compared exhaustively on full sets: it is searched breadth first, each set against those
 not yet reached, so a component costs its spanning links only and no list of all pairs is ever made.
@@ -62,14 +64,20 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int):
     return value, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = K.mix(np.arange(1, 2 * n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    return (x[:n] >> _U(32)).astype(np.uint32) | np.uint32(1), (x[n:] >> _U(32)).astype(np.uint32)
+def _multipliers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor and summand of the minwise function of each key."""
+    return (K.mix(keys * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1), (K.mix(keys ^ _U(0xA0761D6478BD642F)) >> _U(32)).astype(np.uint32)
+
+
+def _branch(node: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The child that the token chooses at the node."""
+    return K.mix(node * _U(0x9E3779B97F4A7C15) + token.astype(_U) + _U(1))
 
 
-def _profiles(words: int, coordinates: int):
-    """doc_id, size and digest of the shingle set, minwise tokens."""
-    mul, add = _multipliers(coordinates)
+def _profiles(words: int, trees: int, depth: int):
+    """doc_id, size and digest of the shingle set, its node in each tree."""
+    mul, add = _multipliers(np.arange(1, trees * depth + 1, dtype=_U))
+    roots = K.mix(np.arange(1, trees + 1, dtype=_U))
 
     def run(batches):
         for batch in batches:
@@ -79,59 +87,51 @@ def _profiles(words: int, coordinates: int):
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 d1, d2 = np.zeros(b - a, _U), np.zeros(b - a, _U)
-                tokens = np.zeros((b - a, coordinates), np.uint32)
+                node = np.repeat(roots[None], b - a, axis=0)
                 if len(some):
                     cut = at[:-1][some]
                     d1[some] = np.add.reduceat(K.mix(sets), cut)
                     d2[some] = np.add.reduceat(K.mix(sets ^ _U(0x5851F42D4C957F2D)), cut)
                     h = (sets >> _U(32)).astype(np.uint32)
-                    for k in range(coordinates):
-                        tokens[some, k] = np.minimum.reduceat(h * mul[k] + add[k], cut)
+                    for k in range(trees * depth):
+                        node[some, k % trees] = _branch(node[some, k % trees], np.minimum.reduceat(h * mul[k] + add[k], cut))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                     pa.array([t.tobytes() if m else None for t, m in zip(tokens, n.tolist())], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "tokens"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * trees, pa.int32()), pa.array(node.view(np.int64).ravel()))],
+                    ["doc_id", "n_shingles", "d1", "d2", "nodes"])
     return run
 
 
-def _branch(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """One branching: the node picks a coordinate, the token of it picks the child."""
-    pick = (K.mix(node) % _U(tokens.shape[1])).astype(np.int64)
-    return K.mix(node * _U(0x9E3779B97F4A7C15) + tokens[np.arange(len(node)), pick].astype(_U) + _U(1))
+def _own_set(sets: np.ndarray, d1: int, d2: int) -> bool:
+    return len(sets) > 0 and int(K.mix(sets).sum(dtype=_U).view(np.int64)) == d1 and int(K.mix(sets ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) == d2
 
 
-def _paths(coordinates: int, trees: int, depth: int):
+def _deeper(words: int):
+    """Children of large nodes: two branchings each, by minwise tokens that no other branching uses."""
     def run(batches):
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("rep"))
-            raw, _ = K.text_bytes(batch.column(batch.schema.get_field_index("tokens")))
-            tokens = raw.view(np.uint32).reshape(-1, coordinates) if len(raw) else np.zeros((0, coordinates), np.uint32)
-            nodes = []
-            for t in range(trees):
-                node = np.full(len(tokens), K.mix(np.array([t + 1], _U))[0], _U)
-                for _ in range(depth):
-                    node = _branch(node, tokens)
-                nodes.append(node)
-            flat = np.stack(nodes, axis=1).ravel() if nodes else np.zeros(0, _U)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), keys.take(pa.array(np.repeat(np.arange(len(tokens)), trees)))], ["node", "rep"])
-    return run
-
-
-def _deeper(coordinates: int):
-    """Children of large nodes: one branching each, and a second, independent one for half of the nodes.
-
-    With 1.5 branchings a level at similarity 0.8 the expected number of shared paths does not shrink.
-    """
-    def run(batches):
-        for batch in batches:
-            raw, _ = K.text_bytes(batch.column(batch.schema.get_field_index("tokens")))
-            tokens = raw.view(np.uint32).reshape(-1, coordinates) if len(raw) else np.zeros((0, coordinates), np.uint32)
-            node = batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-            again = np.flatnonzero(K.mix(node ^ _U(0xA0761D6478BD642F)) & _U(1))
-            child = np.concatenate([_branch(node, tokens), _branch(K.mix(node[again] ^ _U(0xE7037ED1A0B428DB)), tokens[again])])
-            row = pa.array(np.append(np.arange(len(node)), again))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64))] + [batch.column(batch.schema.get_field_index(c)).take(row) for c in ("rep", "n")],
-                                             ["node", "rep", "parent"])
+            at_name = batch.schema.get_field_index
+            reps, d1, d2 = (batch.column(at_name(c)).to_pylist() for c in ("rep", "d1", "d2"))
+            lists = batch.column(at_name("nodes"))
+            cuts = lists.offsets.to_numpy()
+            nodes, sizes = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "n"))
+            for a, b, data, offs in K.text_chunks(batch):
+                sets, at = shingle_sets(data, offs, words)
+                out = []
+                for d in range(b - a):
+                    own = sets[at[d]:at[d + 1]]
+                    if not _own_set(own, d1[a + d], d2[a + d]):
+                        continue
+                    node = nodes[cuts[a + d]:cuts[a + d + 1]].view(_U)
+                    keys = np.concatenate([K.mix(node), K.mix(node ^ _U(0xE7037ED1A0B428DB))])
+                    parent = np.tile(sizes[cuts[a + d]:cuts[a + d + 1]], 2)
+                    mul, add = _multipliers(keys)
+                    h = (own >> _U(32)).astype(np.uint32)
+                    step = max(1, (1 << 18) // len(h))
+                    token = np.concatenate([(h * mul[i:i + step, None] + add[i:i + step, None]).min(axis=1) for i in range(0, len(keys), step)])
+                    out.append((_branch(keys, token).view(np.int64), np.full(len(keys), reps[a + d], np.int64), parent))
+                for i in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[i:i + 256])], ["node", "rep", "parent"])
     return run
 
 
@@ -147,8 +147,7 @@ def _member_sets(words: int):
                 out = []
                 for d in range(b - a):
                     own = sets[at[d]:at[d + 1]]
-                    if len(own) and int(K.mix(own).sum(dtype=_U).view(np.int64)) == d1[a + d] \
-                            and int(K.mix(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) == d2[a + d]:
+                    if _own_set(own, d1[a + d], d2[a + d]):
                         raw = own.tobytes()
                         out += [(x["node"], x["side"], reps[a + d], raw) for x in nodes[a + d]]
                 for i in range(0, len(out), 256):
@@ -215,18 +214,23 @@ def _confirm(percent: int):
     return run
 
 
+def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
+    lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
+    wanted = lists.join(classes.select("rep", "d1", "d2"), "rep")
+    return docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+
+
 def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links of the given (node, side, rep) rows."""
-    lists = members.groupBy("rep").agg(F.collect_list(F.struct("node", "side")).alias("nodes"))
-    wanted = lists.join(classes.select("rep", "d1", "d2"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    texts = _texts(members, ["node", "side"], classes, docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = texts.mapInArrow(_member_sets(words), "node bigint, side int, rep bigint, shingles binary")
     return sets.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
 @settled
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, coordinates: int = 64, trees: int = 24, depth: int = 4,
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 24, depth: int = 4,
                     node_limit: int = 256, deepest: int = 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -234,11 +238,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, coordina
     smallest doc_id reachable.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    profile = K.stored(docs.mapInArrow(_profiles(words, coordinates), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, tokens binary"))
+    profile = K.stored(docs.mapInArrow(_profiles(words, trees, depth), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, nodes array<bigint>"))
     classes = K.stored(profile.where("n_shingles > 0").groupBy("d1", "d2")
-                       .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")).where("rep is not null"))
+                       .agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes")).where("rep is not null"))
     # documents that repeat one id under several texts are told apart by digest and never linked to themselves
-    level = classes.select("rep", "tokens").mapInArrow(_paths(coordinates, trees, depth), "node bigint, rep bigint").withColumn("parent", F.lit(None).cast("bigint"))
+    level = classes.select(F.explode("nodes").alias("node"), "rep", F.lit(None).cast("bigint").alias("parent"))
     leaves, dense = [], []
     for step in range(depth, deepest + 1):
         sizes = K.stored(level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"),
@@ -254,8 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, coordina
         alike = F.lit(step == deepest) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
         rows = level.select("node", "rep").join(large.select("node", "n", alike.alias("alike")), "node")
         dense.append(K.stored(rows.where("alike").select("node", "rep", "n")))
-        level = K.stored(rows.where("not alike").join(classes.select("rep", "tokens"), "rep").select("node", "rep", "n", "tokens")
-                         .mapInArrow(_deeper(coordinates), "node bigint, rep bigint, parent bigint"))
+        level = K.stored(_texts(rows.where("not alike"), ["node", "n"], classes, docs).mapInArrow(_deeper(words), "node bigint, rep bigint, parent bigint").distinct())
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)

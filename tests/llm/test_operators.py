@@ -128,6 +128,29 @@ def test_near_duplicates(odd):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), low[g]) for (i, _), s, g in zip(rows, sets, group))
 
 
+def test_near_duplicates_keep_recall_in_deep_trees(spark):
+    # pairs at 0.80 to 0.83 in a crowd that shares words of one pool: with small nodes every tree branches on;
+    # few trees and a low depth make the misses of the deeper levels countable
+    rng = random.Random(5)
+    rows, sets = [], []
+    for pair in range(1200):
+        common = [f"c{i}" for i in range(100) if rng.random() < 0.45]
+        size = len(common) + 20
+        swapped = rng.choice([k for k in range(1, 21) if 0.80 <= (size - k) / (size + k) <= 0.83])
+        for side in (0, 1):
+            words = common + [f"w{pair}_{i}" for i in range(swapped * side, 20)] + [f"w{pair}_{side}_{i}" for i in range(swapped * side)]
+            sets.append(set(words))
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join(words)))
+    # brute force: documents are linked inside their pair only
+    for a in rng.sample(range(2400), 60):
+        assert [b for b in range(2400) if b != a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])] == [a ^ 1]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=1, trees=2, depth=1, node_limit=2).collect()
+    assert len(got) == len(rows) and all(r.component_id in (r.doc_id, r.doc_id // 2 * 2) for r in got)
+    missed = sum(r.doc_id % 2 == 1 and r.component_id == r.doc_id for r in got)
+    assert missed <= 1200 * (1 - 0.8 * 15 / 16) ** 2                   # the stated bound; 1.5 branchings a level miss up to 1200 * 0.25
+
+
 def test_decontamination(spark, odd):
     docs, rows = odd
     bench = [(1, " ".join(rows[4][1].split()[100:130])), (2, "one"), (3, None), (4, "never seen here"), (10, " ".join(rows[7][1].split()[4:30]))]
