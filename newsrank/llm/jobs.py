@@ -65,7 +65,8 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licence of each document, its own or its folder's.
 
-    A document lies at source/lang/doc_id; one of at most 60 words that names a licence is its folder's licence file.
+    A document lies at source/lang/doc_id; one of at most 60 words that names a licence is its folder's licence file, and
+    longer ones grant where their best header is all they hold or speaks for the folder.
     """
     docs = read(spark, folder, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))

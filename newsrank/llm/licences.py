@@ -1,12 +1,13 @@
 """Licences of files: sparse TF-IDF cosine of headers to templates, then inheritance from the nearest ancestor folder.
 
-1. Every line, and every sentence of a line, that names a licence, a copyright or an SPDX tag is a header; a licence
-   file is one header as a whole. Headers are folded to distinct normalised texts first, so a line that a third of all
+1. Every line, and every sentence of a line, that names a licence, a copyright or an SPDX tag is a header; so is
+   the whole text of a licence file. Headers are folded to distinct normalised texts first, so a line that a third of all
    files share is scored once.
 2. Headers and templates are sparse vectors of word counts times idf, where document frequencies are counted over all
    headers and templates. They meet on their words: a header takes at most one row for each word of a template, and
    templates are a small fixed table. The best template with cosine >= ``least`` names the header.
-3. A file's own licence is that of its best header. Licences of licence files belong to their folders; each distinct folder
+3. A file's own licence is that of its best header. It belongs to the folder too, whatever the length of the file, where the
+   file is a licence file, or its best header is all it holds or speaks for the folder, project or the like; each distinct folder
    of the table meets its ancestors by a path join and takes the nearest one that has a licence; files without
    a licence of their own take that of their folder.
 
@@ -33,6 +34,8 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 MENTION = r"(?i)licen[sc]e|copyright|spdx|redistribut|permission is hereby|subject to the terms"
+SPACE = r"(?:folder|directory|project|repository|package|distribution)"
+FOR_ALL = rf"(?i)\b(?:in|of|under)\s+this\s+{SPACE}\b|\bthis\s+{SPACE}\s+(?:is|are|may|and)\b"
 WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
 
@@ -49,13 +52,14 @@ def _normal(text: Column) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(file, header) of each distinct header of a file; ``files`` has (file, text, whole)."""
+    """(file, header, grants) of each distinct header of a file; ``files`` has (file, text, whole)."""
     # a text without any mention is left after one search
-    named = files.where(F.col("text").rlike(MENTION))
-    lines = F.filter(F.split("text", r"\n|(?<=[.!?])\s+(?=\p{Lu})"), lambda x: x.rlike(MENTION))
-    units = F.when(F.col("whole"), F.array(F.col("text"))).otherwise(lines)
-    found = named.select("file", F.explode(F.array_distinct(F.transform(units, _normal))).alias("header"))
-    return found.where("header != ''")
+    named = files.where(F.col("text").rlike(MENTION)).withColumn("units", F.split(F.btrim("text", F.lit(" \t\r\n")), r"\n|(?<=[.!?])\s+(?=\p{Lu})"))
+    alone = F.col("whole") | (F.size("units") == 1)
+    lines = F.filter("units", lambda x: x.rlike(MENTION))
+    units = F.when(F.col("whole"), F.concat(F.array("text"), lines)).otherwise(lines)
+    each = F.transform(units, lambda x: F.struct(_normal(x).alias("header"), (alone | x.rlike(FOR_ALL)).alias("grants")))
+    return named.select("file", F.explode(F.array_distinct(each)).alias("x")).select("file", "x.*").where("header != ''")
 
 
 def score_headers(seen: DataFrame, templates: DataFrame, least: float) -> DataFrame:
@@ -93,10 +97,10 @@ def scan(files: DataFrame, templates: DataFrame | None = None, least: float = 0.
     seen = found.groupBy("header").agg(F.count("*").alias("n"))
     named = K.stored(seen.join(score_headers(seen, templates, least), "header"))
     own = K.spread_join(found, named, "header").where("licence is not null")
-    own = own.groupBy("file").agg(F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence"), F.max("cosine").alias("cosine"))
+    own = own.groupBy("file").agg(F.min_by(F.struct("licence", "cosine", "grants"), F.struct(-F.col("cosine"), F.col("licence"), ~F.col("grants"))).alias("x")).select("file", "x.*")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), "")
-    rows = K.stored(files.select("file", "path", "whole", folder.alias("folder")).join(own, "file", "left"))
-    granted = rows.where("whole and licence is not null and folder is not null").groupBy(F.col("folder").alias("above")).agg(
+    rows = K.stored(files.select("file", "path", folder.alias("folder")).join(own, "file", "left"))
+    granted = rows.where("grants and licence is not null and folder is not null").groupBy(F.col("folder").alias("above")).agg(
         F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("grant"))
     folders = rows.where("folder is not null").groupBy("folder").agg(F.count("*").alias("n"))
     parts = F.split("folder", "/")

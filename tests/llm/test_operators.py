@@ -203,6 +203,19 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+def test_licence_sentences_of_licence_files(spark):
+    # a licence file holds other words; files of any length grant by a header that is all they hold or speaks for the folder
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "a/x", "Atly ingnd thintion thheeshe ering and oneaor of rentating.\nReleased under the MIT License.", True), (2, "a/y", words, False),
+            (3, "b/x", f"{words}.\nThis project is licensed under CC BY 4.0.\n{words}", False), (4, "b/y", words, False),
+            (5, "c/x", "\nLicensed under the Apache License, Version 2.0.\n", False), (6, "c/y", words, False),
+            (7, "d/x", f"{words}.\nReleased under the MIT License.", False), (8, "d/y", words, False)]
+    files = spark.createDataFrame(rows, "file bigint, path string, text string, is_licence_file boolean")
+    got = sorted((r.file, r.licence, r.origin, r.folder) for r in licences.scan(files).na.fill("").collect())
+    assert got == [(1, "MIT", "own", ""), (2, "MIT", "inherited", "a"), (3, "CC-BY-4.0", "own", ""), (4, "CC-BY-4.0", "inherited", "b"),
+                   (5, "Apache-2.0", "own", ""), (6, "Apache-2.0", "inherited", "c"), (7, "MIT", "own", ""), (8, "", "none", "")]
+
+
 def test_shards(odd):
     docs, rows = odd
     got = kd_shards.shard(docs, 5).collect()
