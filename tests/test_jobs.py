@@ -40,3 +40,13 @@ def test_job(spark, con, name):
     cols = [c[0] for c in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(cols, res.fetchall())
+
+
+def test_liquidation_records_are_not_gathered(spark):
+    from types import SimpleNamespace
+
+    from newsrank.plans.jobs_sources import liquidation_rows
+
+    lines = spark.range(1000).selectExpr("id * 20 AS l_partkey", "DATE'2024-01-01' AS l_shipdate", "2.0 AS l_quantity", "10.0 * id AS l_extendedprice", "if(id % 2 = 0, 'A', 'N') AS l_returnflag")
+    got = liquidation_rows(SimpleNamespace(lineitem=lines)).selectExpr("inst_id", "size(details) AS n").collect()
+    assert len(got) == 1000 and {(r.inst_id, r.n) for r in got} == {("C0-USDT-SWAP", 1)}
