@@ -142,10 +142,17 @@ def _(f):
     return SG.liquidation_alerts(_liquidations(f), _tickers(f)).select("base", "tier", "direction", F.round("dominant_pct", 4).alias("dominant_pct"))
 
 
+def _last_jumps(f, tickers):
+    """Jumps of the last record of each base: a run compares the interest it reads with the record before it."""
+    interest = _interest(f)
+    last = interest.where("oi_usd > 0").groupBy("base").agg(F.max("at").alias("at"))
+    return SG.interest_jumps(interest, tickers).join(last, ["base", "at"])
+
+
 def _signals(f):
     t = _tickers(f)
-    parts = [SG.price_moves(t), SG.level_breaks(t, _last_prices(f), AT, MAJORS), SG.volume_spikes(t, _closed(f)),
-             SG.funding_extremes(*_funding(f), t), SG.liquidation_alerts(_liquidations(f), t)]
+    parts = [SG.price_moves(t), SG.level_breaks(t, _last_prices(f), AT, MAJORS), SG.period_extremes(t, _closed(f), majors=MAJORS),
+             SG.volume_spikes(t, _closed(f)), SG.funding_extremes(*_funding(f), t), _last_jumps(f, t), SG.liquidation_alerts(_liquidations(f), t)]
     out = parts[0].select(*SG.SIGNAL)
     for p in parts[1:]:
         out = out.unionByName(p.select(*SG.SIGNAL))

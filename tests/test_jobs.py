@@ -50,3 +50,14 @@ def test_liquidation_records_are_not_gathered(spark):
     lines = spark.range(1000).selectExpr("id * 20 AS l_partkey", "DATE'2024-01-01' AS l_shipdate", "2.0 AS l_quantity", "10.0 * id AS l_extendedprice", "if(id % 2 = 0, 'A', 'N') AS l_returnflag")
     got = liquidation_rows(SimpleNamespace(lineitem=lines)).selectExpr("inst_id", "size(details) AS n").collect()
     assert len(got) == 1000 and {(r.inst_id, r.n) for r in got} == {("C0-USDT-SWAP", 1)}
+
+
+def test_signal_run_takes_all_seven_kinds(spark):
+    from newsrank import dictionaries as D
+    from newsrank.plans import jobs_signals as J
+    from newsrank.plans.views import Feed
+
+    rows = J._signals(Feed(spark, "/root/testdata/sf0.01")).collect()
+    jumps = [r.key.split(":")[1] for r in rows if r.kind == "oi_jump"]
+    assert {r.kind for r in rows} == set(D.KIND_PRIORITY)
+    assert len(jumps) == len(set(jumps))                               # one run: the last record of each base
