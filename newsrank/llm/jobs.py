@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
+from . import conversation_trie, kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -97,5 +97,47 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.trie(read(spark, folder, "conversations"))
+
+
+ORACLES["op13_conversation_trie"] = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS place FROM t),
+crc AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM t
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE c END AS x FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i = 8 * length(s)),
+r AS (
+  SELECT h.conv_id, 0 AS part, p.place, p.role, p.text FROM h JOIN p ON p.conv_id = h.base AND p.place <= h.h
+  UNION ALL
+  SELECT h.conv_id, 1, p.place, p.role, p.text FROM h JOIN p ON p.conv_id = h.conv_id AND p.place > h.h),
+q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, role, text FROM r),
+k AS (
+  SELECT conv_id, 0 AS depth, '' AS key, 0 AS bytes FROM h
+  UNION ALL
+  SELECT k.conv_id, q.depth, sha256(k.key || ';' || strlen(q.role) || ':' || q.role || q.text), strlen(q.text)
+  FROM k JOIN q ON q.conv_id = k.conv_id AND q.depth = k.depth + 1),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM k GROUP BY ALL),
+up AS (  -- node and its parent's smallest member
+  SELECT a.depth, a.key, b.conv_id AS parent
+  FROM n a JOIN k m ON m.conv_id = a.conv_id AND m.depth = a.depth - 1 JOIN n b ON b.depth = m.depth AND b.key = m.key),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS c FROM up GROUP BY ALL),
+v AS (SELECT n.*, coalesce(kids.c, 0) AS kids, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n - 1) * n.bytes END AS val
+      FROM n LEFT JOIN kids ON kids.parent = n.conv_id AND kids.depth = n.depth),
+sub AS (  -- each node's sums at all its ancestors, along the path of its smallest member
+  SELECT m.depth, m.key, sum(CAST(v.kids = 0 AS BIGINT)) AS leaves, sum(v.val) AS saved
+  FROM v JOIN k m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY ALL),
+fin AS (SELECT conv_id, max(depth) AS depth FROM k GROUP BY conv_id),
+e AS (SELECT k.depth, k.key, string_agg(CAST(k.conv_id AS VARCHAR), ',' ORDER BY k.conv_id) AS ids FROM fin JOIN k USING (conv_id, depth) GROUP BY ALL)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, up.parent AS parent_conv_id, v.n AS n_convs, CAST(v.kids AS BIGINT) AS n_children,
+       CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM v JOIN sub USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN e USING (depth, key)"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination)}
+    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination, op13_conversation_trie)}
