@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
+from . import bitsliced_search, conversation_trie, kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .suffix_dedup import repeated_spans
@@ -97,6 +97,27 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item."""
+    return bitsliced_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(terms)) AS BIGINT) AS nt FROM d WHERE len(terms) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+x AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + ((75 * p.n * s.nd) // s.nt))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
     return conversation_trie.trie(read(spark, folder, "conversations"))
@@ -140,4 +161,4 @@ FROM v JOIN sub USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN e U
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination, op13_conversation_trie)}
+    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination, op12_ranked_search, op13_conversation_trie)}
