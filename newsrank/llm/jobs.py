@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bitsliced_search, conversation_trie, kd_shards, learned_ann, licences, pieces, rule_quality, toxicity, warc
 from .decontaminate import contamination
 from .neardup import near_duplicates
+from .recompression import repeated_runs
 from .suffix_dedup import repeated_spans
 
 ORACLES: dict[str, str] = {}
@@ -97,6 +98,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op11_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    """Words removed as part of a run of twenty that occurs earlier, and what is left, for each document."""
+    return repeated_runs(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").alias("text"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten highest-scoring documents of each benchmark item."""
     return bitsliced_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
@@ -161,4 +167,4 @@ FROM v JOIN sub USING (depth, key) LEFT JOIN up USING (depth, key) LEFT JOIN e U
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination, op12_ranked_search, op13_conversation_trie)}
+    op1_warc, op2_sentencepiece, op3_learned_ann, op4_suffix_dedup, op5_toxicity, op6_near_duplicates, op7_licences, op8_rule_quality, op9_kd_shards, op10_decontamination, op11_recompression, op12_ranked_search, op13_conversation_trie)}
