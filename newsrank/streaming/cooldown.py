@@ -1,11 +1,11 @@
-"""Running form of the signal cooldown: keyed state with time-to-live, checked by escalation rules."""
+"""Running form of the signal cooldown: keyed state that event-time timers take away, checked by escalation rules."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +13,7 @@ from .. import dictionaries as D
 
 OUTPUT = "key string, kind string, magnitude double, at timestamp"
 _STATE = ST.StructType([ST.StructField("magnitude", ST.DoubleType()), ST.StructField("at_ms", ST.LongType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def may_emit(kind: str, magnitude: float, hours: float, previous: float) -> bool:
@@ -25,18 +26,19 @@ def may_emit(kind: str, magnitude: float, hours: float, previous: float) -> bool
 
 
 class Cooldown(StatefulProcessor):
-    """One value state for each signal key; unused keys expire after the time to live."""
+    """One value state for each signal key, and one timer that clears it when the key was not used for ``ttl_days``."""
 
     def __init__(self, ttl_days: int = 30):
         self.ttl_ms = ttl_days * 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _STATE, self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("at")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["at", "magnitude"])
         state = self.last.get()
-        previous = (float(state[0]), int(state[1])) if state is not None else None
+        before = previous = (float(state[0]), int(state[1])) if state is not None else None
         out = []
         for r in pdf.itertuples(index=False):
             at_ms = int(pd.Timestamp(r.at).timestamp() * 1000)
@@ -44,19 +46,31 @@ class Cooldown(StatefulProcessor):
                 previous = (round(float(r.magnitude), 4), at_ms)
                 out.append((key[0], r.kind, float(r.magnitude), r.at))
         if out:
+            if before is not None:
+                self.handle.deleteTimer(before[1] + self.ttl_ms)
             self.last.update(previous)
+            self.handle.registerTimer(previous[1] + self.ttl_ms)
         yield pd.DataFrame(out, columns=["key", "kind", "magnitude", "at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["key", "kind", "magnitude", "at"])
+
     def close(self) -> None:
         pass
 
 
-def cooldown_stream(signals: DataFrame, ttl_days: int = 30) -> DataFrame:
-    """Signals (key, kind, magnitude, at) that may go out.
+def cooldown_stream(signals: DataFrame, ttl_days: int = 30, delay: str = "1 hour") -> DataFrame:
+    """Signals (key, kind, magnitude, at) that may go out; needs the RocksDB state store provider on the session.
 
-    Needs the RocksDB state store provider on the session; a run-once query also needs
-    ``spark.sql.streaming.noDataMicroBatches.enabled=false``, as state with a time to live asks for
-    empty batches without end.
+    A key's rows of one micro-batch are judged in order of time. Its state goes when the watermark is ``ttl_days`` past its
+    last signal, whether or not the key is seen again.
     """
-    return signals.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Cooldown(ttl_days), outputStructType=OUTPUT, outputMode="append", timeMode="processingTime")
+    return signals.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Cooldown(ttl_days), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+
+
+def cooldown_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, magnitude, at_ms): what the running form holds after its last batch, from its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.selectExpr("key.key AS key", "value.magnitude AS magnitude", "value.at_ms AS at_ms")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsrank.sources import tables as TB
-from newsrank.streaming.cooldown import cooldown_stream, may_emit
+from newsrank.streaming import commit as CM
+from newsrank.streaming.cooldown import cooldown_state, cooldown_stream, may_emit
 from newsrank.streaming.ingest import dedup_items, write_batches
 
 
@@ -57,8 +58,6 @@ def test_may_emit(kind, magnitude, hours, previous, want):
 def test_cooldown_stream(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # state with a time to live keeps asking for empty batches, which would keep a run-once query alive
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     t0 = dt.datetime(2024, 1, 1)
     rows = [("k1", "price_move", 10.0, t0), ("k1", "price_move", 12.0, t0 + dt.timedelta(hours=2)),
@@ -73,6 +72,33 @@ def test_cooldown_stream(spark):
         assert done
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = sorted((r.key, r.magnitude) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == [("k1", 10.0), ("k1", 18.5), ("k2", 5e6)]
+    assert sorted(r.key for r in cooldown_state(spark, f"{base}/c").collect()) == ["k1", "k2"]
+
+
+def test_a_batch_counts_once_and_only_when_recorded(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+
+    def die(batch_id):
+        raise RuntimeError("died")
+
+    with pytest.raises(RuntimeError):
+        CM.commit(rows, 0, f"{base}/t", f"{base}/l", die)
+    assert CM.committed(spark, f"{base}/t", f"{base}/l", rows.schema).count() == 0
+    CM.commit(rows, 0, f"{base}/t", f"{base}/l")
+    CM.commit(rows.where("id = 1"), 0, f"{base}/t", f"{base}/l")          # recorded: nothing is written
+    CM.commit(rows.where("id = 1"), 1, f"{base}/t", f"{base}/l")
+    got = sorted((r.id, r.batch_id) for r in CM.committed(spark, f"{base}/t", f"{base}/l", rows.schema).collect())
+    assert got == [(1, 0), (1, 1), (2, 0)]
+
+
+def test_consumed_only_when_stored_and_not_deferred(spark):
+    queue = spark.createDataFrame([(1, None, 0, None), (2, None, 1, "quota"), (3, None, 0, None), (4, dt.datetime(2024, 1, 1), 0, None)],
+                                  "id long, consumed_at timestamp_ntz, deferred_count int, defer_reason string")
+    done = spark.createDataFrame([(1,), (2,), (1,)], "id long")
+    held = spark.createDataFrame([(2, "budget")], "id long, defer_reason string")
+    got = CM.mark_consumed(queue, done, held, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).orderBy("id").collect()
+    assert [(r.id, r.consumed_at is not None, r.deferred_count, r.defer_reason) for r in got] == [
+        (1, True, 0, None), (2, False, 2, "budget"), (3, False, 0, None), (4, True, 0, None)]
