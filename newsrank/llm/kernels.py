@@ -149,18 +149,19 @@ def stored(df, path: str | None = None):
     return cut_lineage(df, path or scratch(df.sparkSession))
 
 
-HOT_KEYS = 1000
+HOT_SHARE = 1000
 
 
 def spread_join(rows, table, key: str):
     """Left join of ``rows`` with ``table`` (one row a key, and its frequency in ``rows`` as ``n``), safe for hot keys.
 
-    The thousand most frequent keys, the only ones that can hold more than a thousandth of the rows, come by
-    broadcast (at most 1,000 small rows); the other rows are joined by a shuffle. ``rows`` should be stored.
+    Keys that hold more than a thousandth of the rows, which are fewer than a thousand, come by broadcast; the other rows
+    are joined by a shuffle. ``rows`` should be stored.
     """
     from pyspark.sql import functions as F
 
-    hot = table.orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    total = F.broadcast(table.agg(F.sum("n").alias("__total")))
+    hot = table.crossJoin(total).where(F.col("n") * HOT_SHARE > F.col("__total")).drop("__total")      # the total is one row
     is_hot = F.broadcast(hot.select(key))
     first = rows.join(F.broadcast(hot.drop("n")), key)
     rest = rows.join(is_hot, key, "left_anti").join(table.drop("n").join(is_hot, key, "left_anti"), key, "left")
