@@ -37,9 +37,9 @@ from .suffix_dedup import _by_bucket, _pack, _runs, _spans_batch, _union
 WINDOW = 20
 LEVELS = 2
 GRAM = 4
-NAME_BUCKET = 3 << 20
-WINDOW_BUCKET = 1 << 20
-CHUNK = 4 << 20
+NAME_BUCKET = 3 << 19
+WINDOW_BUCKET = 1 << 19
+CHUNK = K.CHUNK_BYTES
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _ODD = _U(0xD6E8FEB86659FD93)

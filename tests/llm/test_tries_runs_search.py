@@ -90,7 +90,7 @@ def test_repeated_runs(spark, texts, options):
 def test_repeated_runs_of_given_and_long_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    rows.append((-1, " ".join(t for _, t in rows if t) * 12))                 # longer than a chunk of 4 MB
+    rows.append((-1, " ".join(t for _, t in rows if t) * 12))                 # longer than a chunk
     assert len(rows[-1][1].encode()) > recompression.CHUNK
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in recompression.repeated_runs(spark.createDataFrame(rows, docs.schema)).collect())
     assert got == plain_runs(rows)
