@@ -35,3 +35,20 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     return dealt.join(parts, "__part").withColumn(name, F.col("__mid") - F.col("__first") + F.col("__before") + 1).drop("__part", "__mid", "__first", "__before")
+
+
+def running_total(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its group up to its own ``order`` (one row for each ``by`` and ``order``).
+
+    The sums run inside range partitions and are shifted by what lies in the partitions before, one row for each.
+    """
+    dealt = _dealt(df, [*by, order]).drop("__mid")
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = parts.withColumn("__before", F.coalesce(before, F.lit(0))).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), "__before")
+    same = F.col("__part") == F.col("__of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = dealt.withColumn("__inside", inside).join(shift, same)
+    return out.withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__of", "__inside", "__before", *[f"__{c}" for c in by])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def cohort_sample(holdings: DataFrame, modulus: int = 300, min_usd: float = 100.0, key: Column | None = None) -> DataFrame:
     """Distinct users holding enough of a coin, one in ``modulus`` by the hash of the user."""
@@ -30,15 +32,32 @@ def shock_levels(ranges: DataFrame, days: int = 30) -> DataFrame:
     return r.withColumn("shock", F.when(F.col("rng") > F.col("p95"), 2).when(F.col("rng") > F.col("p80"), 1).otherwise(0))
 
 
-def balanced_panel(holders: DataFrame, shocks: DataFrame, behaviour: DataFrame) -> DataFrame:
+#: Rows (days by coins) up to which a shock table is shipped to all executors: a few megabytes.
+SHIPPED_ROWS = 100_000
+
+
+def with_shocks(holders: DataFrame, shocks: DataFrame, salts: int = 64, shipped_rows: int = SHIPPED_ROWS) -> DataFrame:
+    """Every holder of a coin beside every labelled day of that coin.
+
+    A shock table of at most ``shipped_rows`` rows is broadcast. Beyond that both sides are joined on coin and salt: a coin's
+    holders are dealt into ``salts`` parts by user and its days are sent to each, so a coin that holds a third of all rows
+    is the work of many tasks.
+    """
+    shocks = cut_lineage(shocks)
+    if shocks.count() <= shipped_rows:
+        return holders.join(F.broadcast(shocks), "coin")
+    dealt = holders.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(salts)))
+    spread = shocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(spread, ["coin", "_salt"]).drop("_salt")
+
+
+def balanced_panel(holders: DataFrame, shocks: DataFrame, behaviour: DataFrame, **spread) -> DataFrame:
     """Every holder of a coin on every labelled day of that coin, with zero for no behaviour.
 
-    The join is on the coin. The shock table is days by coins, so it stays small beside the holders
-    and the planner may ship it; the holders of one coin are never collected.
+    ``spread`` goes to ``with_shocks``; the holders of one coin are never collected.
     """
     cells = [c for c in behaviour.columns if c.startswith(("am_", "pm_"))]
-    grid = holders.join(shocks, "coin")
-    j = grid.join(behaviour, ["user_id", "coin", "day"], "left").na.fill(0, cells)
+    j = with_shocks(holders, shocks, **spread).join(behaviour, ["user_id", "coin", "day"], "left").na.fill(0, cells)
     return j.withColumn("viewed", (F.col("am_view") + F.col("pm_view") > 0).cast("int")).withColumn(
         "traded", (F.col("am_ord") + F.col("pm_ord") > 0).cast("int")).withColumn(
         "active", ((F.col("viewed") + F.col("traded")) > 0).cast("int"))

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import scores as S
 from ..functions import times as T
+from .ordering import running_total
 
 
 def social_baseline(events: DataFrame, by: list[str] = ()) -> DataFrame:
     """(baseline): the value at index ``min(n-1, floor(0.95 n))`` of the sorted positive interactions.
 
-    Values are counted first, so the running sum goes over distinct values and not over the rows.
+    Values are counted first and their counts run up inside range partitions, so no task sorts all of them.
     """
+    by = list(by)
     counts = events.where("social_interactions > 0").groupBy(*by, "social_interactions").agg(F.count("*").alias("k"))
-    order = Window.partitionBy(*by).orderBy("social_interactions") if by else Window.orderBy("social_interactions")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    run = counts.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(whole))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    found = run.where(F.col("upto") > at).groupBy(*by) if by else run.where(F.col("upto") > at)
-    return found.agg(F.greatest(F.coalesce(F.min("social_interactions").cast("double"), F.lit(D.SOCIAL_FLOOR)),
-                                F.lit(D.SOCIAL_FLOOR)).alias("baseline"))
+    run = running_total(counts, by, "social_interactions", "k", "upto")
+    whole = run.groupBy(*by).agg(F.sum("k").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in by], "n")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    run = run.join(whole, same) if by else run.crossJoin(F.broadcast(whole))           # without groups: one row
+    run = run.where(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)))
+    return run.groupBy(*by).agg(F.greatest(F.coalesce(F.min("social_interactions").cast("double"), F.lit(D.SOCIAL_FLOOR)),
+                                           F.lit(D.SOCIAL_FLOOR)).alias("baseline"))
 
 
 def factor_columns(now, published: Column) -> dict[str, Column]:

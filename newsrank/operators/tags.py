@@ -168,18 +168,37 @@ def symbol_entities(events: DataFrame, listed: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("market_cap_rank")).cast(ENTITY).alias("entity"))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters (at most four) of a text; none for a shorter one."""
+    chars = F.split(text, "")
+    at = F.sequence(F.lit(1), F.length(text) - size + 1)
+    one = F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), ""))
+    return F.when(F.length(text) >= size, F.array_distinct(one)).otherwise(F.array().cast("array<string>"))
+
+
 def title_entities(events: DataFrame, names: DataFrame) -> DataFrame:
     """Companies named in titles: (id, turn, entity).
 
-    ``names`` is a name dictionary: turn, name, symbol, market, script ("zh" looks in the Chinese title,
-    "en" in both in lower case). It is folded to one array row, so every title is read once.
+    ``names`` is a name dictionary of any size: turn, name, symbol, market, script ("zh" looks in the Chinese title, "en" in
+    both in lower case), shown. Its index is the first characters of each name, up to four; titles are cut into runs of the
+    lengths that occur there and both meet by a hash join. What meets is then looked for as a whole.
     """
-    book = names.agg(F.array_sort(F.collect_list(F.struct("turn", "name", "symbol", "market", "script", "shown"))).alias("book"))
     zh = F.coalesce("title_zh", F.lit(""))
     both = F.lower(F.concat(zh, F.lit(" "), F.coalesce("title_en", F.lit(""))))
-    hit = F.filter("book", lambda b: F.when(b["script"] == "zh", F.contains(zh, b["name"])).otherwise(F.contains(both, b["name"])))
-    rows = events.crossJoin(F.broadcast(book)).select("id", F.explode(hit).alias("b"))
-    first = rows.groupBy("id", F.col("b.symbol").alias("_s")).agg(F.min_by("b", "b.turn").alias("b"))
+    width = F.least(F.length("name"), F.lit(4))
+    index = names.where("name != ''").withColumn("width", width).withColumn("gram", F.substring("name", 1, 4))
+    sizes = [(r["script"], r["width"]) for r in index.select("script", "width").distinct().collect()]       # at most eight rows
+    texts = events.select("id", zh.alias("zh"), both.alias("en"))
+    runs = [texts.select("id", F.lit(s).alias("script"), F.explode(_grams(F.col(s), F.lit(w))).alias("gram")) for s, w in sizes]
+    if not runs:
+        return events.select("id", F.lit(0).alias("turn"), F.lit(None).cast(ENTITY).alias("entity")).where("false")
+    cut = runs[0]
+    for r in runs[1:]:
+        cut = cut.unionByName(r)
+    book = F.struct("turn", "name", "symbol", "market", "script", "shown").alias("b")
+    met = cut.join(index.select("script", "gram", book), ["script", "gram"]).select("id", "b")
+    found = met.join(texts, "id").where(F.contains(F.when(F.col("b.script") == "zh", F.col("zh")).otherwise(F.col("en")), F.col("b.name")))
+    first = found.groupBy("id", F.col("b.symbol").alias("_s")).agg(F.min_by("b", F.struct("b.turn", "b.name")).alias("b"))
     return first.select("id", F.col("b.turn").alias("turn"), F.struct(
         F.col("b.symbol").alias("symbol"), F.col("b.shown").alias("name"), F.col("b.market").alias("market"),
         F.lit("US").alias("venue"), F.lit(True).alias("tradable"), F.lit("title_match").alias("source"),

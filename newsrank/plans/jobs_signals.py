@@ -195,14 +195,18 @@ def _(f):
     return SG.candle_universe(_tickers(f), 20, MAJORS)
 
 
+#: Hours since a key's last signal: under a day for most, around thirty days for every fourth.
+STATE_AGE = "(s_suppkey % 24 + CASE WHEN s_suppkey % 4 = 0 THEN 24 * (27 + s_suppkey % 7) ELSE 0 END)"
+
+
 def _state(f):
     return f.supplier.select(
         F.concat(F.lit("price_move:C"), F.col("s_suppkey").cast("string"), F.lit("USDT:up")).alias("key"),
-        (F.col("s_acctbal") / 100).alias("magnitude"), F.timestamp_add("HOUR", -(F.col("s_suppkey") % 24), T.wall(AT)).alias("at"))
+        (F.col("s_acctbal") / 100).alias("magnitude"), F.timestamp_add("HOUR", -F.expr(STATE_AGE), T.wall(AT)).alias("at"))
 
 
 @job("str03_cooldown", f"""
-WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, abs(s_acctbal / 100) AS m, s_suppkey % 24 AS h FROM supplier)
+WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, abs(s_acctbal / 100) AS m, {STATE_AGE} AS h FROM supplier)
 SELECT key FROM (SELECT 'price_move:' || symbol || ':' || CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS key, abs(change_pct) AS mag
   FROM lim WHERE abs(change_pct) >= lim) LEFT JOIN st ON k = key WHERE k IS NULL OR h >= 12 OR mag >= m + 8
 """, "tickers")
@@ -211,12 +215,11 @@ def _(f):
 
 
 @job("str04_state_after_run", f"""
-WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, s_acctbal / 100 AS m, s_suppkey % 24 AS h FROM supplier),
+WITH {TIERED}, st AS (SELECT 'price_move:C' || CAST(s_suppkey AS STRING) || 'USDT:up' AS k, s_acctbal / 100 AS m, {STATE_AGE} AS h FROM supplier),
 kept AS (SELECT 'price_move:' || symbol || ':' || CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS key, abs(change_pct) AS mag
   FROM lim WHERE abs(change_pct) >= lim)
-SELECT key, round(mag, 4) AS magnitude FROM kept UNION ALL SELECT k, round(m, 4) FROM st WHERE k NOT IN (SELECT key FROM kept) AND h <= 12
+SELECT key, round(mag, 4) AS magnitude FROM kept UNION ALL SELECT k, round(m, 4) FROM st WHERE k NOT IN (SELECT key FROM kept) AND h <= 720
 """, "tickers")
 def _(f):
     kept = SG.price_moves(_tickers(f))
-    state = _state(f).where(F.col("at") >= F.timestamp_add("HOUR", F.lit(-12), T.wall(AT)))
-    return SG.next_state(state, kept, AT).select("key", F.round("magnitude", 4).alias("magnitude"))
+    return SG.next_state(_state(f), kept, AT).select("key", F.round("magnitude", 4).alias("magnitude"))

@@ -1,12 +1,17 @@
 """Jobs over landed records and tables (SRC)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import times as T
 from ..operators import filters as FL
 from ..operators.verify import resolve_sources
+from ..session import new_folder
 from ..sources import records as R
+from ..sources import database as DB
+from ..sources import export as EX
 from ..sources import tables as TB
 from .reference_data import demo_institutions
 from .registry import job
@@ -136,12 +141,12 @@ def _(f):
 @job("src08_merge_post_sources", """
 SELECT tweet_id, 'timeline' AS via FROM posts WHERE role = 'user'
 UNION ALL
-SELECT tweet_id, 'search' AS via FROM posts WHERE turn < 3 AND tweet_id NOT IN (SELECT tweet_id FROM posts WHERE role = 'user')
+SELECT tweet_id, 'search' AS via FROM posts WHERE tweet_id NOT IN (SELECT tweet_id FROM posts WHERE role = 'user')
 """, "posts")
 def _(f):
     p = f.posts
     return R.merge_post_sources(p.where("role = 'user'").select("tweet_id", F.lit("timeline").alias("via")),
-                                p.where("turn < 3").select("tweet_id", F.lit("search").alias("via")))
+                                p.select("tweet_id", F.lit("search").alias("via")))
 
 
 CLEAN = """
@@ -266,6 +271,40 @@ def _(f):
         e.where("is_rumor").select("id", F.lit(9).alias("tradable_count")))
 
 
+@job("src15_database_upsert", """
+SELECT id, CASE WHEN source_count <= 6 THEN title_en ELSE 'new ' || title_en END AS title_en,
+  CASE WHEN source_count >= 4 THEN importance_score / 2 ELSE importance_score END AS importance_score, CASE WHEN source_count >= 4 THEN 7 ELSE scoring_version END AS scoring_version
+FROM news_events WHERE CASE WHEN source_count >= 4 THEN importance_score / 2 ELSE importance_score END >= 0.25
+""", "news_events")
+def _(f):
+    """Events written to a database, merged there with new ones, and read back in eight key ranges with the filter pushed down."""
+    old, new = _old_new(f)
+    cols = ["id", "title_en", "source_count", "importance_score", "social_interactions", "scoring_version"]
+    db, table = DB.embedded(f.spark, "newsrank_db"), f"EVENTS_{uuid.uuid4().hex[:8]}".upper()
+    db.upsert(old.select(cols), table, "id", TB.upsert_events)
+    db.upsert(new.select(cols), table, "id", TB.upsert_events)
+    return db.read(table, "id", 8).where("importance_score >= 0.25").select("id", "title_en", "importance_score", "scoring_version")
+
+
+def exported_groups(f):
+    """Documents as rows of duplicate groups, whole texts as titles."""
+    return f.documents.select(
+        F.floor(F.col("doc_id") / 3).alias("group_id"), (F.col("doc_id") % 3).alias("image_index"), F.concat(F.lit("scan "), "doc_id", F.lit(".png")).alias("image_name"),
+        "source", F.col("text").alias("title"), (F.col("doc_id") % 8 / 8.0).alias("similarity_to_group"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 0).alias("is_duplicate"))
+
+
+@job("src18_exported_groups", """
+SELECT CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING) AS group_id, CAST(doc_id % 3 AS STRING) AS image_index, 'scan ' || CAST(doc_id AS STRING) || '.png' AS image_name,
+  source, nullif(text, '') AS title, format('{:.3f}', (doc_id % 8) / 8) AS similarity, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN '是' ELSE '否' END AS duplicate
+FROM documents
+""")
+def _(f):
+    """A table with tabs, quotes and line ends in its fields, exported under its titles and read back."""
+    folder = new_folder(f.spark, "export")
+    files = EX.export(EX.group_table(exported_groups(f)), EX.GROUP_COLUMNS, folder, "groups", ["group_id", "image_index"])
+    return EX.read_export(f.spark, [f"{folder}/{name}" for name in files], EX.GROUP_COLUMNS)
+
+
 @job("src19_source_catalog", """
 SELECT COALESCE(r.name, s.name) AS name, COALESCE(s.events, 0) AS events FROM
   (SELECT DISTINCT source AS name FROM documents UNION SELECT 'unused source') AS r

@@ -131,11 +131,9 @@ def _(f):
 
 
 def _listed(f):
-    """A dictionary of listed symbols: three fixed ones over the region table's rows."""
-    row = lambda s, n, m: F.struct(F.lit(s).alias("symbol"), F.lit(n).alias("name"), F.lit(m).alias("market"))
-    return f.region.where("r_regionkey = 0").select(F.explode(F.array(
-        row("SPX", "Index", "index"), row("MSFT", "Software", "us_stock"), row("NVDA", "Chips", "us_stock"),
-        row("BTC", "Coin", "crypto")).alias("x"))).select("col.*")
+    """A dictionary of listed symbols: the nations as companies, four of them under well-known symbols."""
+    return f.sql("""SELECT CASE n_nationkey WHEN 0 THEN 'SPX' WHEN 1 THEN 'MSFT' WHEN 2 THEN 'NVDA' WHEN 3 THEN 'BTC' ELSE 'N' || CAST(n_nationkey AS STRING) END AS symbol,
+        n_name AS name, CASE n_nationkey WHEN 0 THEN 'index' WHEN 3 THEN 'crypto' ELSE 'us_stock' END AS market FROM nation""")
 
 
 @job("tag08_symbol_entities", """
@@ -147,21 +145,23 @@ def _(f):
     return TG.symbol_entities(e, _listed(f)).select("id", "entity.symbol", "entity.tradable")
 
 
+NAMES = """
+SELECT CAST(n_nationkey AS INT) AS turn, CASE n_nationkey WHEN 0 THEN '比特币' WHEN 1 THEN '市场' WHEN 2 THEN '项目方' WHEN 3 THEN '关税提高到1' WHEN 4 THEN 'gains' ELSE lower(n_name) END AS name,
+  CASE n_nationkey WHEN 0 THEN 'COIN' WHEN 4 THEN 'COIN' ELSE 'N' || CAST(n_nationkey AS STRING) END AS symbol, CASE WHEN n_nationkey < 4 THEN 'zh' ELSE 'en' END AS script FROM nation
+UNION ALL SELECT DISTINCT CAST(100 + p_partkey % 20 AS INT), 'coin c' || CAST(p_partkey % 20 AS STRING), 'P' || CAST(p_partkey % 20 AS STRING), 'en' FROM part"""
+
+
 def _names(f):
-    row = lambda t, n, s, sc: F.struct(F.lit(t).alias("turn"), F.lit(n).alias("name"), F.lit(s).alias("symbol"),
-                                       F.lit("us_stock").alias("market"), F.lit(sc).alias("script"), F.lit(n).alias("shown"))
-    return f.region.where("r_regionkey = 0").select(F.explode(F.array(
-        row(1, "比特币", "COIN", "zh"), row(2, "市场", "MKT", "zh"), row(3, "coin c1", "CONE", "en"), row(4, "gains", "COIN", "en")))
-    ).select("col.*")
+    """A name dictionary of nations and parts."""
+    return f.sql(f"SELECT *, 'us_stock' AS market, name AS shown FROM ({NAMES})")
 
 
-@job("tag09_title_entities", """
-SELECT DISTINCT id, symbol FROM (SELECT id, unnest(list_filter([CASE WHEN contains(title_zh, '比特币') THEN 'COIN' END,
-  CASE WHEN contains(title_zh, '市场') THEN 'MKT' END, CASE WHEN contains(lower(title_zh || ' ' || title_en), 'coin c1') THEN 'CONE' END,
-  CASE WHEN contains(lower(title_zh || ' ' || title_en), 'gains') THEN 'COIN' END], lambda x: x IS NOT NULL)) AS symbol FROM news_events)
+@job("tag09_title_entities", f"""
+SELECT id, symbol, min(turn) AS turn FROM news_events JOIN ({NAMES}) AS n
+  ON contains(CASE WHEN script = 'zh' THEN title_zh ELSE lower(title_zh || ' ' || title_en) END, name) GROUP BY id, symbol
 """, "news_events")
 def _(f):
-    return TG.title_entities(f.news_events, _names(f)).select("id", "entity.symbol")
+    return TG.title_entities(f.news_events, _names(f)).select("id", "entity.symbol", "turn")
 
 
 @job("tag10_coin_entities", f"""
@@ -172,7 +172,19 @@ def _(f):
     return TG.coin_entities(TG.resolve_coins(f.news_events, _index(f), EQUITIES)).select("id", "entity.symbol", "entity.tradable")
 
 
-@job("tag11_tradable_entities")
+@job("tag11_tradable_entities", f"""
+WITH {INDEX}, {MENTIONS}, co AS (SELECT id, m.symbol, xp IS NOT NULL AS tradable, 'crypto' AS market, market_cap_rank AS rank, 0 AS part, pos AS turn FROM m JOIN idx ON idx.symbol = m.symbol
+  LEFT JOIN coin_universe AS cu ON cu.coin_id = idx.coin_id WHERE status = 'ok' AND m.symbol NOT IN ('C7', 'C8')),
+sy AS (SELECT item_id AS id, s.symbol, s.symbol <> 'SPX' AS tradable, s.market, NULL AS rank, 1 AS part, s.turn FROM (SELECT item_id,
+  unnest(CASE WHEN matched_symbols LIKE 'SPX%' THEN [{{'symbol': 'SPX', 'market': 'index', 'turn': 0}}, {{'symbol': 'MSFT', 'market': 'us_stock', 'turn': 1}}, {{'symbol': 'BTC', 'market': 'crypto', 'turn': 2}}]
+              WHEN matched_symbols LIKE 'NVDA%' THEN [{{'symbol': 'NVDA', 'market': 'us_stock', 'turn': 0}}] ELSE [] END) AS s FROM raw_items)),
+ti AS (SELECT id, symbol, true AS tradable, 'us_stock' AS market, NULL AS rank, 2 AS part, min(turn) AS turn FROM news_events JOIN ({NAMES}) AS n
+  ON contains(CASE WHEN script = 'zh' THEN title_zh ELSE lower(title_zh || ' ' || title_en) END, name) GROUP BY id, symbol),
+pool AS (SELECT *, row_number() OVER (PARTITION BY id, symbol ORDER BY part, turn) AS r FROM (SELECT * FROM co UNION ALL SELECT * FROM sy UNION ALL SELECT * FROM ti)),
+top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY NOT tradable, CASE market WHEN 'crypto' THEN 0 WHEN 'us_stock' THEN 1 ELSE 2 END,
+  CASE WHEN rank IS NULL OR rank = 0 THEN 9999 ELSE rank END, part, turn) AS k FROM pool WHERE r = 1)
+SELECT id, string_agg(symbol, ',' ORDER BY k) AS entities, CAST(count(*) FILTER (tradable) AS INT) AS tradable_count FROM top WHERE k <= 6 GROUP BY id
+""", "coin_universe news_events raw_items")
 def _(f):
     coins = TG.coin_entities(TG.resolve_coins(f.news_events, _index(f), EQUITIES))
     symbols = TG.symbol_entities(f.raw_items.withColumnRenamed("item_id", "id"), _listed(f))
