@@ -49,6 +49,35 @@ PLACES = "bucket bigint, docs binary, orders binary, counts binary, names binary
 PLACE_COLUMNS = ["bucket", "docs", "orders", "counts", "names", "spots"]
 
 
+REPLY = "bucket bigint, docs binary, spans binary"
+REPLY_COLUMNS = ["bucket", "docs", "spans"]
+
+
+def _reply(key: np.ndarray, a: np.ndarray, b: np.ndarray, shards: int) -> list[tuple]:
+    """Spans [a, b) of documents for the shards that gather them: one row for each shard, whatever the documents."""
+    shard = (K.mix(key.view(_U)) % _U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        part = order[edges[k]:edges[k + 1]]
+        out.append((k, _pack(key[part], "<i8"), _pack(np.stack([a[part], b[part]], axis=1), "<u4")))
+    return out
+
+
+def _gather(batches):
+    """One row a document: all its spans, from the replies of one shard."""
+    for _, rows in _by_bucket(batches):
+        key = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
+        spans = np.concatenate([np.frombuffer(r["spans"], "<u4").reshape(-1, 2) for r in rows])
+        order = np.lexsort((spans[:, 0], key))
+        yield _spans_batch(key[order], spans[order, 0], spans[order, 1])
+
+
+def _gathered(replies: DataFrame, shards: int) -> DataFrame:
+    return K.stored(replies.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "key bigint, spans binary"))
+
+
 def _blobs(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], columns)
 
@@ -165,24 +194,25 @@ def _send_names(size: int, levels: int, gram: int, buckets: int):
     return run
 
 
-def _shared_names(batches):
+def _shared_names(shards: int):
     """Reduce side of step 3: the windows of the names that occur at two places of one bucket, one bucket at a time."""
-    for _, rows in _by_bucket(batches):
-        low = np.concatenate([np.frombuffer(r["names"], np.uint8) for r in rows]).reshape(-1, 5)
-        name = np.zeros((len(low), 8), np.uint8)
-        name[:, :5] = low
-        name = name.view(_U).ravel()
-        key = np.repeat(np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows]), np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
-        spot, count = np.concatenate([np.frombuffer(r["spots"], "<u4").reshape(2, -1) for r in rows], axis=1).astype(np.int64)
-        order = np.argsort(name, kind="stable")
-        s = name[order]
-        edge = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        tag = (K.mix(key.view(_U)) + spot.astype(_U) * _ODD)[order]
-        once = np.minimum.reduceat(tag, edge) == np.maximum.reduceat(tag, edge)          # copies of a text agree in both
-        got = order[np.repeat(~once, np.diff(np.append(edge, len(s))))]
-        if len(got):
-            got = got[np.lexsort((spot[got], key[got]))]
-            yield _spans_batch(key[got], spot[got], spot[got] + count[got])
+    def run(batches):
+        for _, rows in _by_bucket(batches):
+            low = np.concatenate([np.frombuffer(r["names"], np.uint8) for r in rows]).reshape(-1, 5)
+            name = np.zeros((len(low), 8), np.uint8)
+            name[:, :5] = low
+            name = name.view(_U).ravel()
+            key = np.repeat(np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows]), np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
+            spot, count = np.concatenate([np.frombuffer(r["spots"], "<u4").reshape(2, -1) for r in rows], axis=1).astype(np.int64)
+            order = np.argsort(name, kind="stable")
+            s = name[order]
+            edge = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            tag = (K.mix(key.view(_U)) + spot.astype(_U) * _ODD)[order]
+            once = np.minimum.reduceat(tag, edge) == np.maximum.reduceat(tag, edge)          # copies of a text agree in both
+            got = order[np.repeat(~once, np.diff(np.append(edge, len(s))))]
+            if len(got):
+                yield _blobs(_reply(key[got], spot[got], spot[got] + count[got], shards), REPLY_COLUMNS)
+    return run
 
 
 def _settle_unique(size: int):
@@ -193,7 +223,7 @@ def _settle_unique(size: int):
             out = {c: [] for c in ("zone", "n_zone", "n_words", "n_removed", "kept")}
             for t, spans, lead in zip(cols["text"], cols["spans"], cols["lead"]):
                 raw = (t or "").encode().split()
-                zone = _union(spans, LAST) if lead and spans else None
+                zone = _union([spans], LAST) if lead and spans else None
                 gone = len(raw) if not lead and len(raw) >= size else 0
                 out["zone"].append(None if zone is None else _pack(zone, "<u4"))
                 out["n_zone"].append(0 if zone is None else int((zone[:, 1] - zone[:, 0]).sum()))
@@ -235,10 +265,7 @@ def _send_windows(size: int, buckets: int):
                 out = []
                 if later.any():
                     k, s, e = _runs(keys[a:b][doc[later]], spot[later], 1)
-                    by = np.lexsort((s, k))
-                    got = _spans_batch(k[by], s[by], e[by] + 1)
-                    for key, spans in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-                        out.append((-1 - (key & 0x3FFFFFFF), _pack([key], "<i8"), None, None, None, spans))
+                    out += [(-1 - shard, docs, None, None, None, spans) for shard, docs, spans in _reply(k, s, e + 1, buckets)]
                 sent = np.flatnonzero(~later)
                 bucket = ((name[sent] >> _U(8)) % _U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -254,27 +281,28 @@ def _send_windows(size: int, buckets: int):
     return run
 
 
-def _later_windows(batches):
+def _later_windows(shards: int):
     """Reduce side of step 4: all places of a window but the first, as spans of window starts, one bucket at a time."""
-    for bucket, rows in _by_bucket(batches):
-        if bucket < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(r["docs"], "<i8")[0]) for r in rows], pa.int64()), pa.array([r["spots"] for r in rows], pa.binary())], ["key", "spans"])
-            continue
-        count = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
-        key = np.repeat(np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows]), count)
-        doc = np.repeat(np.concatenate([np.frombuffer(r["orders"], "<i8") for r in rows]), count)
-        spot = np.concatenate([np.frombuffer(r["spots"], "<u4") for r in rows]).astype(np.int64)
-        name = np.concatenate([np.frombuffer(r["names"], "<u8", len(r["names"]) // 12) for r in rows])
-        check = np.concatenate([np.frombuffer(r["names"], "<u4", len(r["names"]) // 12, len(r["names"]) // 12 * 8) for r in rows])
-        order = np.lexsort((spot, doc, check, name))
-        key, doc, spot, name, check = key[order], doc[order], spot[order], name[order], check[order]
-        same = np.append(False, (name[1:] == name[:-1]) & (check[1:] == check[:-1]))
-        group = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        later = same & ((doc != doc[group]) | (spot != spot[group]))
-        if later.any():
-            k, s, e = _runs(key[later], spot[later], 1)
-            by = np.lexsort((s, k))
-            yield _spans_batch(k[by], s[by], e[by] + 1)
+    def run(batches):
+        for bucket, rows in _by_bucket(batches):
+            if bucket < 0:
+                yield _blobs([(-1 - bucket, r["docs"], r["spots"]) for r in rows], REPLY_COLUMNS)
+                continue
+            count = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
+            key = np.repeat(np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows]), count)
+            doc = np.repeat(np.concatenate([np.frombuffer(r["orders"], "<i8") for r in rows]), count)
+            spot = np.concatenate([np.frombuffer(r["spots"], "<u4") for r in rows]).astype(np.int64)
+            name = np.concatenate([np.frombuffer(r["names"], "<u8", len(r["names"]) // 12) for r in rows])
+            check = np.concatenate([np.frombuffer(r["names"], "<u4", len(r["names"]) // 12, len(r["names"]) // 12 * 8) for r in rows])
+            order = np.lexsort((spot, doc, check, name))
+            key, doc, spot, name, check = key[order], doc[order], spot[order], name[order], check[order]
+            same = np.append(False, (name[1:] == name[:-1]) & (check[1:] == check[:-1]))
+            group = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+            later = same & ((doc != doc[group]) | (spot != spot[group]))
+            if later.any():
+                k, s, e = _runs(key[later], spot[later], 1)
+                yield _blobs(_reply(k, s, e + 1, shards), REPLY_COLUMNS)
+    return run
 
 
 def _settle(size: int):
@@ -285,7 +313,7 @@ def _settle(size: int):
             removed, kept = [], []
             for t, spans in zip(cols["text"], cols["spans"]):
                 raw = t.encode().split()
-                cut = _union(spans or [], LAST)
+                cut = _union([spans] if spans else [], LAST)
                 gone = np.zeros(len(raw), bool)
                 for s, e in cut.tolist():
                     gone[s:e + size - 1] = True
@@ -309,8 +337,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS, g
 
     buckets = total // (20 * name_bucket) + 1                                     # about one name for 20 bytes
     sent = rows.select("key", "text").mapInArrow(_send_names(window, levels, gram, buckets), NAMES)
-    shared = K.stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names, "key bigint, spans binary")
-                      .groupBy("key").agg(F.collect_list("spans").alias("spans")))
+    shared = _gathered(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names(buckets), REPLY), buckets)
     plan = classes.join(shared, "key", "left").select("digest", "first", "copies", "spans")
     work = K.spread_join(rows, plan.withColumnRenamed("copies", "n"), "digest").withColumn("lead", order == F.col("first"))
     work = work.select("doc_id", "key", "text", "lead", F.when(F.col("lead"), F.col("spans")).alias("spans"))
@@ -319,8 +346,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS, g
     open_ = work.where("zone is not null").select("doc_id", "key", "text", "zone", "n_words")
     buckets = (work.agg(F.sum("n_zone")).first()[0] or 0) // window_bucket + 1
     sent = open_.mapInArrow(_send_windows(window, buckets), PLACES)
-    later = K.stored(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_later_windows, "key bigint, spans binary")
-                     .groupBy("key").agg(F.collect_list("spans").alias("spans")))
+    later = _gathered(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_later_windows(buckets), REPLY), buckets)
     cut = open_.join(later, "key", "left").select("doc_id", "n_words", "text", "spans").mapInArrow(_settle(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     done = work.where("zone is null").select("doc_id", "n_words", "n_removed", "kept").unionByName(cut)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "kept")
