@@ -23,6 +23,7 @@ from ..session import cut_lineage
 
 TILE_ROWS = 2048
 PIVOTS = 64
+PAIRS_PER_TASK = 16
 BLOCK_ROWS = 64          # left rows of a tile pair whose matches are held at a time
 _SLACK = 1e-4
 
@@ -206,9 +207,12 @@ def tile_join(left: DataFrame, right: DataFrame | None, reduce: Callable[[Tile,
     tiles_b = fresh(cut[-1])
     pairs = cut_lineage(_tile_pairs(tiles_a, tiles_b, centre, threshold, window_hours, missing_time, symmetric))
     pair = F.concat_ws("#", "a_tile", "b_tile").alias("pair")
+    # many small tile pairs share a task and few large ones get a task each, whatever their bytes
+    n_pairs = pairs.count()
+    tasks = max(1, min(n_pairs, max(left.sparkSession.sparkContext.defaultParallelism * 2, n_pairs // PAIRS_PER_TASK)))
     a = tiles_a.join(pairs, tiles_a["tile"] == pairs["a_tile"]).select(
-        *left.columns, pair, (F.col("a_tile") == F.col("b_tile")).alias("same"))
-    b = tiles_b.join(pairs, tiles_b["tile"] == pairs["b_tile"]).select(*(left if symmetric else right).columns, pair)
+        *left.columns, pair, (F.col("a_tile") == F.col("b_tile")).alias("same")).repartition(tasks, "pair")
+    b = tiles_b.join(pairs, tiles_b["tile"] == pairs["b_tile"]).select(*(left if symmetric else right).columns, pair).repartition(tasks, "pair")
     return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(meet, schema)
 
 

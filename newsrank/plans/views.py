@@ -115,7 +115,7 @@ def raw_items(w) -> str:
     return f"""
 SELECT doc_id AS item_id,
        CASE WHEN k % 5 = 2 THEN 'X/user' || CAST(doc_id % 40 AS STRING) ELSE source END AS source,
-       CASE WHEN doc_id % 61 = 0 THEN '' ELSE substring(text, 1, 80) END AS title,
+       CASE WHEN doc_id % 61 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS title,
        CASE WHEN doc_id % 47 = 0 THEN '' ELSE
          'https://www.site' || CAST(k AS STRING) || '.example.com/a/'
          || CAST(CASE WHEN doc_id % 9 = 0 THEN doc_id - doc_id % 18 ELSE doc_id END AS STRING)
@@ -140,7 +140,7 @@ def staging(w) -> str:
     """The staged queue: priority, fetch time, consumed and deferred marks."""
     base = w.ts("2024-01-01 00:00:00")
     return f"""
-SELECT doc_id AS id, source, substring(text, 1, 80) AS title,
+SELECT doc_id AS id, source, split_part(text, chr(10), 1) AS title,
        'https://site.example.com/' || CAST(doc_id AS STRING) AS url,
        CAST(doc_id % 5 AS INT) AS priority,
        {w.add_hours(base, 'doc_id % 743')} AS fetched_at,
@@ -176,7 +176,7 @@ CASE d.doc_id % 8
   WHEN 0 THEN '比特币跌' || CAST(d.doc_id % 40 AS STRING) || '%'
   WHEN 1 THEN '份额升至' || CAST(d.doc_id % 90 AS STRING) || '.4%'
   WHEN 2 THEN 'Coin C' || CAST(d.doc_id % 20 AS STRING) || ' gains ' || CAST(d.doc_id % 12 AS STRING) || '.5% today'
-  WHEN 3 THEN substring(d.text, 1, 80)
+  WHEN 3 THEN split_part(d.text, chr(10), 1)
   WHEN 4 THEN '关税提高到' || CAST(d.doc_id % 30 AS STRING) || '%后市场整体明显上涨' || CAST(d.doc_id % 9 AS STRING) || '%'
   WHEN 5 THEN '2025年升值约' || CAST(d.doc_id % 70 AS STRING) || '%'
   WHEN 6 THEN '项目方否认被盗传闻 ' || CAST(d.doc_id % 50 AS STRING)
@@ -203,7 +203,7 @@ def news_events(w) -> str:
     tag = lambda name, rel, anchor: w.struct(sector=name, relevance=rel, anchor=anchor)
     return f"""
 SELECT d.doc_id AS id, d.doc_id AS ord,
-       substring(d.text, 1, 80) AS title_en, {_TITLE_ZH} AS title_zh,
+       split_part(d.text, chr(10), 1) AS title_en, {_TITLE_ZH} AS title_zh,
        d.text AS description_short_en, d.text AS description_short_zh,
        CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE {hours} END AS time_event,
        {fetched} AS time_get_data,
