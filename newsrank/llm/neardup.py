@@ -16,11 +16,15 @@ A large node of much alike sets is cut into blocks; sets outside the node's larg
 compared with every block, so nothing is lost. Nodes of equal members in several trees are
 compared once. Sets that are equal are one class from the start, joined by digest.
 
-Only node keys and set numbers travel for all documents; shingle sets travel only for members of nodes with
-two sets or more. Links and components stay distributed.
-
-Null or blank text has no words: n_shingles 0, linked with nothing. Null doc_id: the row takes part, but is
-never the representative while another id exists; repeated rows are one class.
+Only node keys, set numbers, sizes and sketches travel for all documents. A sketch is one byte of each of the
+``trees * depth`` minwise tokens; inside a node a set goes on only where another one is near enough in size (exact) and
+agrees in half of the sketch: at s = 0.8 a pair of 96 tokens fails that with probability below 1e-10. Texts and shingle
+sets travel for the sets left. A large node is first split by size, each set into two neighbouring size classes (two sets of
+similarity 0.8 share one), before any text is read for it. Links and components stay distributed.
+
+Null or blank text has no words: n_shingles 0, linked with nothing. A class of equal sets is named by its digest, so rows with
+a null doc_id are linked as all others; a component's id is its smallest doc_id, null where all its ids are null. Repeated
+rows are one class.
 """
 
 from __future__ import annotations
@@ -75,16 +79,17 @@ def _branch(node: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _profiles(words: int, trees: int, depth: int):
-    """doc_id, size and digest of the shingle set, its node in each tree."""
+    """doc_id, text_key, size, digest and sketch of the shingle set, its node in each tree."""
     mul, add = _multipliers(np.arange(1, trees * depth + 1, dtype=_U))
     roots = K.mix(np.arange(1, trees + 1, dtype=_U))
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
             for a, b, data, offs in K.text_chunks(batch):
                 sets, at = shingle_sets(data, offs, words)
                 n = np.diff(at)
+                sketch = np.zeros((b - a, trees * depth), np.uint8)
                 some = np.flatnonzero(n)
                 d1, d2 = np.zeros(b - a, _U), np.zeros(b - a, _U)
                 node = np.repeat(roots[None], b - a, axis=0)
@@ -94,11 +99,15 @@ def _profiles(words: int, trees: int, depth: int):
                     d2[some] = np.add.reduceat(K.mix(sets ^ _U(0x5851F42D4C957F2D)), cut)
                     h = (sets >> _U(32)).astype(np.uint32)
                     for k in range(trees * depth):
-                        node[some, k % trees] = _branch(node[some, k % trees], np.minimum.reduceat(h * mul[k] + add[k], cut))
+                        token = np.minimum.reduceat(h * mul[k] + add[k], cut)
+                        node[some, k % trees] = _branch(node[some, k % trees], token)
+                        sketch[some, k] = K.mix(token.astype(_U)) >> _U(56)
+                width = trees * depth
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                     pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * width, width, dtype=np.int32)), pa.py_buffer(sketch)]),
                      pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * trees, pa.int32()), pa.array(node.view(np.int64).ravel()))],
-                    ["doc_id", "n_shingles", "d1", "d2", "nodes"])
+                    ["doc_id", "text_key", "n_shingles", "d1", "d2", "sketch", "nodes"])
     return run
 
 
@@ -214,37 +223,71 @@ def _confirm(percent: int):
     return run
 
 
+def _promising(percent: int):
+    """Members of a node that another member is near enough to, by size and by sketch."""
+    def close(rows):
+        side = np.array([r[0] for r in rows])
+        size = np.array([r[2] for r in rows], np.int64)
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        keep = np.zeros(len(rows), bool)
+        step = max(1, (4 << 20) // sketch.size)
+        for a in range(0, len(rows), step):
+            part = slice(a, a + step)
+            near = 100 * np.minimum(size[part, None], size) >= percent * np.maximum(size[part, None], size)
+            near &= (side[part, None] == 0) | (side == 0)
+            near[np.arange(near.shape[0]), np.arange(a, a + near.shape[0])] = False
+            i, j = np.nonzero(near)
+            ok = np.zeros(len(i), bool)
+            for k in range(0, len(i), 1 << 15):
+                ok[k:k + (1 << 15)] = 2 * (sketch[i[k:k + (1 << 15)] + a] == sketch[j[k:k + (1 << 15)]]).sum(axis=1) >= sketch.shape[1]
+            keep[i[ok] + a] = True
+        return [rows[i] for i in np.flatnonzero(keep).tolist()]
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            out = []
+            for node, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "side", "rep", "n_shingles", "sketch"))):
+                if node != now:
+                    if len(held) > 1:
+                        out += [(now, r[0], r[1]) for r in close(held)]
+                    held, now = [], node
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], ["node", "side", "rep"])
+        if len(held) > 1 and (out := [(now, r[0], r[1]) for r in close(held)]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], ["node", "side", "rep"])
+    return run
+
+
 def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
     lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
-    wanted = lists.join(classes.select("rep", "d1", "d2"), "rep")
-    return docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    wanted = lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep")
+    # null ids are many rows under one key: one row of each text is enough
+    texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["text_key"]))
+    return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text", "nodes", "d1", "d2")
 
 
 def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links of the given (node, side, rep) rows."""
-    texts = _texts(members, ["node", "side"], classes, docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = members.join(classes.select("rep", "n_shingles", "sketch"), "rep")
+    left = K.stored(sketched.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_promising(percent), "node bigint, side int, rep bigint"))
+    texts = _texts(left, ["node", "side"], classes, docs)
     sets = texts.mapInArrow(_member_sets(words), "node bigint, side int, rep bigint, shingles binary")
     return sets.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
-@settled
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 24, depth: int = 4,
-                    node_limit: int = 256, deepest: int = 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Rows are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
-    smallest doc_id reachable.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    profile = K.stored(docs.mapInArrow(_profiles(words, trees, depth), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, nodes array<bigint>"))
-    classes = K.stored(profile.where("n_shingles > 0").groupBy("d1", "d2")
-                       .agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes")).where("rep is not null"))
-    # documents that repeat one id under several texts are told apart by digest and never linked to themselves
+def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: int, node_limit: int, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """(profile of every row, (d1, d2, root, doc_id, text_key) of every class of equal sets)."""
+    profile = K.stored(docs.mapInArrow(_profiles(words, trees, depth), "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, nodes array<bigint>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
+    classes = profile.where("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    classes = K.stored(classes.select("d1", "d2", F.xxhash64("d1", "d2").alias("rep"), "row.doc_id", "row.text_key", "nodes", "sketch", "n_shingles"))
     level = classes.select(F.explode("nodes").alias("node"), "rep", F.lit(None).cast("bigint").alias("parent"))
-    leaves, dense = [], []
-    for step in range(depth, deepest + 1):
+    leaves, dense, by_size_yet = [], [], False
+    for step in range(depth, deepest + 2):
         sizes = K.stored(level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"),
                                                    F.min("parent").alias("parent")).where("n > 1"))
         small = sizes.where(F.col("n") <= node_limit)
@@ -255,10 +298,17 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
         if large.isEmpty():
             break
         # a node that keeps more than half of its parent is a group of much alike sets: branching on would only lose links
-        alike = F.lit(step == deepest) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
+        alike = F.lit(step == deepest + 1) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
         rows = level.select("node", "rep").join(large.select("node", "n", alike.alias("alike")), "node")
         dense.append(K.stored(rows.where("alike").select("node", "rep", "n")))
-        level = K.stored(_texts(rows.where("not alike"), ["node", "n"], classes, docs).mapInArrow(_deeper(words), "node bigint, rep bigint, parent bigint").distinct())
+        rows = rows.where("not alike")
+        if not by_size_yet:
+            size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+            split = rows.join(classes.select("rep", size_class.alias("c")), "rep").select("node", "rep", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+            level = K.stored(split.select(F.xxhash64("node", "c", F.lit("size")).alias("node"), "rep", F.lit(None).cast("bigint").alias("parent")))
+            by_size_yet = True
+        else:
+            level = K.stored(_texts(rows, ["node", "n"], classes, docs).mapInArrow(_deeper(words), "node bigint, rep bigint, parent bigint").distinct())
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
@@ -292,22 +342,47 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: i
             cells = a.unionByName(b).groupBy("node", "rep").agg(F.min("side").cast("int").alias("side"))
             links = links.unionByName(_links(cells, classes, docs, words, percent))
             found = connected_components(links)
-    root = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "d1", "d2", F.coalesce("root", "rep").alias("component_id"))
-    out = profile.select("doc_id", "n_shingles", "d1", "d2").join(root, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    return profile, classes.select("d1", "d2", "rep", "doc_id", "text_key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "d1", "d2", F.coalesce("root", "rep").alias("root"), "doc_id", "text_key")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+@settled
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, trees: int = 24, depth: int = 4,
+                    node_limit: int = 256, deepest: int = 20) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Rows are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
+    smallest doc_id reachable.
+    """
+    profile, classes = _components(_keyed(docs), words, percent, trees, depth, node_limit, deepest)
+    named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = classes.select("d1", "d2", "root").join(named, "root").drop("root")
+    out = profile.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, **options) -> DataFrame:
-    """One row of each group of near duplicates, its columns untouched; of repeated rows one stays.
+@settled
+def _keepers(docs: DataFrame, words: int, percent: int, trees: int, depth: int, node_limit: int, deepest: int) -> DataFrame:
+    """(doc_id, text_key) of the row that stands for each component, and of every row without words."""
+    profile, classes = _components(docs, words, percent, trees, depth, node_limit, deepest)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"))
+    return first.select("row.doc_id", "row.text_key").unionByName(profile.where("n_shingles = 0").select("doc_id", "text_key").distinct())
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, node_limit: int = 256,
+                         deepest: int = 20) -> DataFrame:
+    """One row of each group of near duplicates, its columns untouched: that of the smallest doc_id, nulls last.
 
-    Where one id stands for several different texts, they stay or go together.
+    Of rows that repeat id and text one stays.
     """
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    groups = near_duplicates(docs, words=words, **options)
-    groups = groups.groupBy(key(F.col("doc_id")).alias("__key")).agg(F.max("kept").alias("__kept")).where("__kept")
-    rows = docs.withColumn("__key", key(F.col("doc_id"))).join(groups, "__key")
+    key = lambda id, text: F.concat_ws("/", F.coalesce(id.cast("bigint").cast("string"), F.lit("none")), text.cast("string"))
+    kept = _keepers(_keyed(docs), words, percent, trees, depth, node_limit, deepest).select(key(F.col("doc_id"), F.col("text_key")).alias("__key"))
+    rows = docs.withColumn("__key", key(F.col("doc_id"), F.xxhash64("text"))).join(kept, "__key", "left_semi")
     # partitioned as the join is: no further shuffle
-    copies = Window.partitionBy("__key", F.sha2("text", 256)).orderBy("__key")
+    copies = Window.partitionBy("__key").orderBy("__key")
     return rows.withColumn("__n", F.row_number().over(copies)).where("__n = 1").select(*docs.columns)
