@@ -6,12 +6,12 @@
    than a thousandth of the rows, come by broadcast (at most 1,000 rows of three numbers and a digest); the others
    by a shuffle on the digest.
 3. Decisions meet the pages by id and digest: payloads travel once. Originals become response records, the others
-   revisit records with a fresh header that names the original, and both are written as plain WARC 1.1.
+   revisit records with a fresh header that names the original, and both are written as WARC 1.1 in gzip files.
 4. ``read_archives`` walks the files by Content-Length, checks each stored payload against its digest and returns
    one row a record.
 
-The text writer closes each record with the line feed that ends its last CRLF CRLF, so the part files are WARC files as
-they are (named .txt). A file has at most ``archive_bytes`` or one record.
+The text writer closes each record with the line feed that ends its last CRLF CRLF, so an unpacked part file is a WARC file
+as it is (named .txt.gz; one gzip member a file). A file has at most about ``archive_bytes`` unpacked, or one record.
 
 Null html is an empty payload; small and empty payloads are always responses. A null id is kept, and is never
 an original. Rows that repeat the original's own id are responses too. Line breaks in a url become spaces; extra
@@ -20,6 +20,7 @@ columns are ignored; an empty table gives no records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -70,7 +71,7 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
              F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
-             F.concat(F.lit("WARC-Date: "), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+             F.concat(F.lit("WARC-Date: "), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
              F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
              F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
              F.when(again, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}WARC-Refers-To: "), _record_id(F.col("refers_to")))),
@@ -79,12 +80,29 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws(END, *lines), F.lit(END + END), block, F.lit(END + "\r")).alias("value"))
 
 
+#: Payload sizes that share files: records of up to so many bytes, and how many of them a file of 16 MB holds.
+SIZE_CLASSES = [(16 << 10, 1000), (256 << 10, 64), (4 << 20, 4)]
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive_bytes: int = 16 << 20) -> None:
-    """Write every page as a record to files under ``path``."""
+    """Write every page as a record to gzip files under ``path``, of about ``archive_bytes`` before compression at most.
+
+    Records share files with records of like size, so one long page does not make all files short; a page above the last
+    class has a file of its own.
+    """
     heads = K.stored(headers(pages))
-    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
-    per_file = max(1, archive_bytes // (longest + 1024))
-    records(pages, resolve(heads, least_bytes)).write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(path)
+    revisits = resolve(heads, least_bytes)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    tops = [top for top, _ in SIZE_CLASSES]
+    kind = F.lit(len(tops))
+    for k in range(len(tops) - 1, -1, -1):
+        kind = F.when(F.col("payload_bytes") <= tops[k], k).otherwise(kind)
+    found = [r[0] for r in heads.select(kind.alias("k")).distinct().collect()] or [0]                 # at most four
+    for k in found:
+        per_file = max(1, SIZE_CLASSES[k][1] * archive_bytes >> 24) if k < len(tops) else 1
+        low, high = (tops[k - 1] if k else -1), (tops[k] if k < len(tops) else 1 << 62)
+        part = pages.where((size > low) & (size <= high))
+        records(part, revisits).write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").option("compression", "gzip").text(f"{path}/size={k}")
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
@@ -119,7 +137,7 @@ def _parse(keep_text: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for fields, block in split_records(content.as_py()):
+                for fields, block in split_records(gzip.decompress(content.as_py())):
                     cut = block.index(b"\r\n\r\n") + 4
                     http = {k.lower(): v for k, v in _FIELD.findall(block[:cut])}
                     kind, digest = fields[b"warc-type"].decode(), fields[b"warc-payload-digest"].decode().removeprefix("sha1:")
@@ -142,7 +160,7 @@ def read_archives(spark: SparkSession, path: str, keep_text: bool = True) -> Dat
 
     ``html`` and ``intact`` are null for revisits.
     """
-    files = spark.read.format("binaryFile").load(f"{path}/part-*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     # one file a batch: what a task holds is one archive
     return files.select("content").mapInArrow(_parse(keep_text), RECORD)
 

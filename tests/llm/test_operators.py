@@ -42,6 +42,20 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_one_long_page_does_not_shorten_the_files_of_others(spark):
+    import gzip
+    import tempfile
+    from pathlib import Path
+
+    pages = spark.range(1, 601, numPartitions=1).selectExpr("id AS page_id", "'u' AS url", "if(id = 7, repeat('long ', 1000000), concat('page ', id)) AS html")
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    warc.write_archives(pages, path)
+    files = [gzip.decompress(f.read_bytes()) for f in Path(path).rglob("part-*.gz")]
+    counts = sorted(n for f in files if (n := f.count(b"WARC/1.1\r\n")))
+    assert counts == [1, 599]
+    assert warc.read_archives(spark, path).where("intact").count() == 600
+
+
 def test_pieces_equal_the_models_own_encoder(odd):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
     docs, rows = odd
