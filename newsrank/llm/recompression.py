@@ -37,8 +37,9 @@ from .suffix_dedup import _by_bucket, _pack, _runs, _spans_batch, _union
 WINDOW = 20
 LEVELS = 2
 GRAM = 4
-NAME_BUCKET = 3 << 19
-WINDOW_BUCKET = 1 << 19
+NAME_BUCKET = 1 << 19
+WINDOW_BUCKET = 1 << 18
+ROWS = 512          # documents whose Python strings a task holds at a time
 CHUNK = K.CHUNK_BYTES
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -215,10 +216,16 @@ def _shared_names(shards: int):
     return run
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _settle_unique(size: int):
     """End of step 3: documents with open windows keep text and windows; the others get their result."""
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             cols = batch.to_pydict()
             out = {c: [] for c in ("zone", "n_zone", "n_words", "n_removed", "kept")}
             for t, spans, lead in zip(cols["text"], cols["spans"], cols["lead"]):
@@ -308,7 +315,7 @@ def _later_windows(shards: int):
 def _settle(size: int):
     """What is left of the documents that had open windows."""
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             cols = batch.to_pydict()
             removed, kept = [], []
             for t, spans in zip(cols["text"], cols["spans"]):
