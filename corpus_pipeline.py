@@ -25,8 +25,11 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes byte runs of 400 and more that occur elsewhere out of the texts."""
-    return freeing(spark, suffix_dedup.drop_repeats(docs))
+    """Takes byte runs of 150 and more (passages of fifty words start at about that length) that occur elsewhere out of the texts.
+
+    Every copy goes, the first one too: what stays behind of a passage is nothing.
+    """
+    return freeing(spark, suffix_dedup.drop_repeats(docs, length=150, cover_order=7))
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
