@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import times as T
 from ..functions.percent import percent_marks, title_move
+from ..operators import filters as FL
 from ..operators import quality as Q
 from ..operators import rank as RK
 from ..operators import score as SC
@@ -283,6 +284,46 @@ def _(f):
                                            F.round("final_score", 6).alias("final_score"))
 
 
+PAGE_FILTER = dict(date_from="2024-01-05", date_to="2024-01-30", is_rumor=False)
+PAGE_WHERE = "date >= DATE '2024-01-05' AND date <= DATE '2024-01-30' AND NOT is_rumor"
+PAGE_POOL = f"""pool AS (SELECT *, row_number() OVER (ORDER BY pt DESC, id) AS pool_order FROM (
+  SELECT *, COALESCE(time_event, CAST(date AS TIMESTAMP), time_get_data) AS pt FROM news_events WHERE {PAGE_WHERE}) ORDER BY pt DESC, id LIMIT 1200)"""
+PAGE = f"WITH {PAGE_POOL}, {FACT}, {SETS}, {MOOD(src='pool')}, {SCORED}"
+
+
+def _production(f, **options):
+    config = RK.normalize_weights(_sets(f).where("set_id = 0"), False)
+    return RK.production_page(f.news_events, FL.feed_predicate(NOW, **PAGE_FILTER), config, NOW, **options)
+
+
+@job("rnk12_production_page", f"""
+{PAGE} SELECT rank AS position, id, title_zh, event_tier, round(final, 6) AS final_score, round(base, 6) AS base_score, CAST(mkt AS DOUBLE) AS market_multiplier,
+  CAST(format('{{:.4f}}', s.M * r.M) AS DOUBLE) AS part_m, round(fr, 4) AS fresh, CAST(format('{{:.4f}}', least(0.5, b1 + b2 + b3)) AS DOUBLE) AS bonus_total,
+  (SELECT count(*) FROM news_events WHERE {PAGE_WHERE}) AS total
+FROM ranked AS r JOIN sets AS s USING (set_id) WHERE set_id = 0 AND rank BETWEEN 11 AND 35
+""", "news_events")
+def _(f):
+    """A filtered page of 25 from position 11, with what explains each place and the total of the filter."""
+    page = _production(f, limit=25, offset=10)
+    return page.select(C("position").cast("long").alias("position"), "id", "title_zh", "event_tier", F.round("final_score", 6).alias("final_score"),
+                       F.round("base_score", 6).alias("base_score"), "market_multiplier", C("part_M").alias("part_m"), "fresh", "bonus_total", "total")
+
+
+@job("rnk12_stored_page", f"""
+WITH {DAY_MOOD}, top AS (SELECT *, row_number() OVER (ORDER BY importance_score DESC NULLS LAST, id) AS pool_order FROM news_events WHERE {PAGE_WHERE}
+  ORDER BY importance_score DESC NULLS LAST, id LIMIT 105),
+s AS (SELECT top.*, mood, {ALIGN} AS b1, {REV} AS b2, {TRADE} AS b3, round({MARKET}, 4) AS mkt, {FRESH} AS fr FROM top, mood),
+v AS (SELECT *, importance_score * mkt * fr * CAST(format('{{:.4f}}', 1 + least(0.5, b1 + b2 + b3)) AS DOUBLE) AS final FROM s)
+SELECT position, id, round(final, 6) AS final_score, round(fr, 4) AS fresh, (SELECT count(*) FROM news_events WHERE {PAGE_WHERE}) AS total
+FROM (SELECT *, row_number() OVER (ORDER BY final DESC, pool_order) AS position FROM v) WHERE position BETWEEN 6 AND 25
+""", "news_events")
+def _(f):
+    """The page that is shown while no version is deployed, from position 6."""
+    mood = RK.market_mood(_fetched(f), MOOD_NOW, hours=24)
+    page = RK.stored_page(f.news_events, FL.feed_predicate(NOW, **PAGE_FILTER), mood, NOW, limit=20, offset=5)
+    return page.select(C("position").cast("long").alias("position"), "id", F.round("final_score", 6).alias("final_score"), "fresh", "total")
+
+
 @job("rnk13_rank_delta", f"""
 {ALL} SELECT set_id, id, row_number() OVER (PARTITION BY set_id ORDER BY importance_score DESC, pool_order) - rank AS rank_delta FROM ranked
 """, "news_events")
@@ -354,7 +395,25 @@ def _(f):
     return RK.explain(_scored(f).where("set_id = 1"), NOW).select("id", C("part_M").alias("part_m"), C("part_H").alias("part_h"), "fresh", "bonus_total")
 
 
-@job("dq09_rank_parity", "SELECT CAST(10 AS BIGINT) AS equal, true AS ok")
+@job("dq09_rank_parity", f"""
+{PAGE}, lab AS (SELECT rank, id FROM ranked WHERE set_id = 0 AND rank <= 10), page AS (
+  SELECT row_number() OVER (ORDER BY final DESC, pool_order) AS rank, id FROM ranked WHERE set_id = 0)
+SELECT count(*) AS equal, count(*) >= 9 AS ok FROM lab JOIN page USING (rank, id)
+""", "news_events")
+def _(f):
+    """The lab's ranking of the page's pool beside the served page: two paths that have to agree."""
+    rows = f.news_events.where(FL.feed_predicate(NOW, **PAGE_FILTER))
+    pool = cut_lineage(RK.candidate_pool(rows, NOW, 40))
+    lab = RK.ranked(RK.final_scores(RK.lab_factors(pool, NOW), RK.normalize_weights(_sets(f), False), RK.market_mood(pool, NOW), NOW)).where("set_id = 0")
+    return Q.rank_parity(lab.select("rank", "id"), _production(f, limit=10).select(C("position").alias("rank"), "id"))
+
+
+@job("dq09_rank_divergence", f"""
+{PAGE} SELECT count(*) AS equal, count(*) >= 9 AS ok FROM ranked AS a JOIN ranked AS b ON a.rank = b.rank AND a.id = b.id AND a.set_id = 1 AND b.set_id = 0 WHERE a.rank <= 10
+""", "news_events")
 def _(f):
-    r = RK.ranked(_scored(f).where("set_id = 0")).select("rank", "id")
-    return Q.rank_parity(r, r)
+    """The same test of a lab set that is not the deployed one: it has to tell them apart."""
+    rows = f.news_events.where(FL.feed_predicate(NOW, **PAGE_FILTER))
+    pool = cut_lineage(RK.candidate_pool(rows, NOW, 40))
+    lab = RK.ranked(RK.final_scores(RK.lab_factors(pool, NOW), RK.normalize_weights(_sets(f), False), RK.market_mood(pool, NOW), NOW)).where("set_id = 1")
+    return Q.rank_parity(lab.select("rank", "id"), _production(f, limit=10).select(C("position").alias("rank"), "id"))
