@@ -56,7 +56,19 @@ def _(f):
     return DD.prefilter_titles(DD.first_by_url(f.raw_items, "item_id"), "item_id").select("item_id")
 
 
-@job("ded04_vector_prefilter")
+@job("ded04_vector_prefilter", f"""
+WITH RECURSIVE v AS (SELECT id AS o, authority AS auth, embedding, row_number() OVER (ORDER BY id) AS r FROM news_events WHERE embedding IS NOT NULL),
+d AS (SELECT a.o, list({{'o': b.o, 'auth': b.auth}} ORDER BY b.o) AS dups FROM v AS a JOIN v AS b ON a.o < b.o AND {COS(a='a', b='b')} > {THR} GROUP BY a.o),
+walk AS (  -- a row in play drops its later duplicates up to the first of higher authority, which ends it as well
+  SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT r, CASE WHEN stop IS NULL THEN list_concat(gone, list_transform(open, lambda x: x.o))
+                 ELSE list_append(list_concat(gone, list_transform(list_filter(open, lambda x: x.o < stop), lambda x: x.o)), o) END
+  FROM (SELECT *, list_min(list_transform(list_filter(open, lambda x: x.auth > auth), lambda x: x.o)) AS stop
+        FROM (SELECT v.r, v.o, v.auth, w.gone, CASE WHEN list_contains(w.gone, v.o) OR d.dups IS NULL THEN [] ELSE list_filter(d.dups, lambda x: NOT list_contains(w.gone, x.o)) END AS open
+              FROM walk w JOIN v ON v.r = w.r + 1 LEFT JOIN d ON d.o = v.o)))
+SELECT id FROM news_events WHERE NOT list_contains((SELECT gone FROM walk ORDER BY r DESC LIMIT 1), id)
+""", "news_events")
 def _(f):
     return DD.prefilter_vectors(f.news_events, "ord", threshold=THR).select("id")
 
@@ -241,12 +253,24 @@ def _two_lists(f):
     return a, b
 
 
-@job("ded17_list_overlap")
+GREEDY = f"""WITH RECURSIVE p AS (SELECT a, b, c, row_number() OVER (ORDER BY c DESC, a, b) AS r FROM (
+  SELECT x.vec_id AS a, y.vec_id AS b, {COS(a='x', b='y')} AS c FROM embeddings AS x JOIN embeddings AS y ON x.label < 3 AND y.label >= 3) WHERE c >= 0.3),
+walk AS (  -- pairs by falling similarity, each side used once
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS c, false AS taken, CAST([] AS BIGINT[]) AS left_used, CAST([] AS BIGINT[]) AS right_used
+  UNION ALL
+  SELECT r, a, b, c, free, CASE WHEN free THEN list_append(left_used, a) ELSE left_used END, CASE WHEN free THEN list_append(right_used, b) ELSE right_used END
+  FROM (SELECT p.*, w.left_used, w.right_used, NOT list_contains(w.left_used, p.a) AND NOT list_contains(w.right_used, p.b) AS free FROM walk w JOIN p ON p.r = w.r + 1))"""
+
+
+@job("ded17_list_overlap", GREEDY + """
+SELECT n_a, n_b, overlap, round(overlap / n_a, 4) AS rate_a, round(overlap / n_b, 4) AS rate_b, round(overlap / (n_a + n_b - overlap), 4) AS jaccard
+FROM (SELECT count(*) FILTER (label < 3) AS n_a, count(*) FILTER (label >= 3) AS n_b FROM embeddings), (SELECT count(*) AS overlap FROM walk WHERE taken)
+""")
 def _(f):
     return DD.list_overlap(*_two_lists(f), threshold=0.3)[1]
 
 
-@job("ded17_matched_pairs")
+@job("ded17_matched_pairs", GREEDY + " SELECT a, b, round(c, 5) AS cosine FROM walk WHERE taken")
 def _(f):
     return DD.list_overlap(*_two_lists(f), threshold=0.3)[0].select("a", "b", F.round("cosine", 5).alias("cosine"))
 

@@ -86,18 +86,26 @@ def _(f):
     return FL.split_by_event_date(f.news_events, GATE)[1].select("id", F.round("age_days", 1).alias("age_days"))
 
 
-@job("flt06_search_dedup", None)
-def _(f):
-    return FL.search_dedup(FL.search_gate(f.raw_items.withColumn("authority", F.greatest(F.col("authority"), F.lit(3))),
-                                          "2024-01-30 12:00:00"), "item_id").select("item_id")
+SEARCH_GATE = f"""SELECT * FROM (SELECT *, {ISO_TS} AS ts, trim(title, {W}) AS t FROM raw_items)
+WHERE length(t) >= 6 AND date_diff('second', ts, TIMESTAMP '@now') BETWEEN -3600 AND 48 * 3600 AND (authority <> 2
+  OR regexp_matches(t || ' ' || summary, '{D.TOPIC_CRYPTO.replace("'", "''")}')
+  OR regexp_matches(t || ' ' || summary, '{D.TOPIC_MARKET.replace("'", "''")}'))"""
 
 
-@job("flt06_search_gate", f"""
-SELECT item_id FROM (SELECT *, {ISO_TS} AS ts, trim(title, {W}) AS t FROM raw_items)
-WHERE length(t) >= 6 AND date_diff('second', ts, TIMESTAMP '2024-01-30') BETWEEN -3600 AND 48 * 3600 AND (authority <> 2
-  OR regexp_matches(t || ' ' || summary, '{D.TOPIC_CRYPTO.replace("'", "''")}')
-  OR regexp_matches(t || ' ' || summary, '{D.TOPIC_MARKET.replace("'", "''")}'))
+@job("flt06_search_dedup", f"""
+WITH RECURSIVE o AS (SELECT item_id, {URL_KEY} AS u, {TITLE_KEY} AS k, row_number() OVER (ORDER BY item_id) AS r FROM ({SEARCH_GATE.replace("@now", "2024-01-30 12:00:00")})),
+walk AS (  -- the pass in order, with the keys of what it kept
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS item_id, false AS kept, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS ks
+  UNION ALL
+  SELECT r, item_id, free, CASE WHEN free AND u <> '' THEN list_append(us, u) ELSE us END, CASE WHEN free THEN list_append(ks, k) ELSE ks END
+  FROM (SELECT o.*, w.us, w.ks, NOT list_contains(w.us, o.u) AND NOT list_contains(w.ks, o.k) AS free FROM walk w JOIN o ON o.r = w.r + 1))
+SELECT item_id FROM walk WHERE kept
 """, "raw_items")
+def _(f):
+    return FL.search_dedup(FL.search_gate(f.raw_items, "2024-01-30 12:00:00"), "item_id").select("item_id")
+
+
+@job("flt06_search_gate", f"SELECT item_id FROM ({SEARCH_GATE.replace("@now", "2024-01-30 00:00:00")})", "raw_items")
 def _(f):
     return FL.search_gate(f.raw_items, "2024-01-30 00:00:00").select("item_id")
 
@@ -181,7 +189,15 @@ def _(f):
     return FL.first_by_post_key(f.posts, "tweet_id").select("tweet_id", X.clean_post(F.col("tweet_body")).alias("body"))
 
 
-@job("flt15_search_posts", None)
+@job("flt15_search_posts", f"""
+WITH RECURSIVE o AS (SELECT tweet_id, kol_username AS a, {POST_KEY} AS k, {ENG} AS e, row_number() OVER (ORDER BY tweet_id) AS r FROM posts WHERE {REASON} IS NULL),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS tweet_id, CAST(NULL AS BIGINT) AS e, false AS kept, CAST([] AS VARCHAR[]) AS authors, CAST([] AS VARCHAR[]) AS ks
+  UNION ALL
+  SELECT r, tweet_id, e, free, CASE WHEN free THEN list_append(authors, a) ELSE authors END, CASE WHEN free THEN list_append(ks, k) ELSE ks END
+  FROM (SELECT o.*, w.authors, w.ks, len(list_filter(w.authors, lambda x: x = o.a)) < 3 AND NOT list_contains(w.ks, o.k) AS free FROM walk w JOIN o ON o.r = w.r + 1))
+SELECT tweet_id, CAST(e AS INT) AS engagement FROM walk WHERE kept ORDER BY e DESC, tweet_id LIMIT 150
+""", "posts")
 def _(f):
     return FL.search_posts(f.posts, "tweet_id").select("tweet_id", "engagement")
 
