@@ -270,7 +270,14 @@ def _(f):
     return RK.remix(RK.ranked(_scored(f)), quota=9)
 
 
-@job("rnk11_pinned_top")
+@job("rnk11_pinned_top", f"""
+{ALL}, a AS (SELECT set_id, id, COALESCE(tradable_count > 0, false) AS ok, rank - 1 AS p FROM ranked),
+f AS (SELECT set_id, min(p) AS q FROM a WHERE ok GROUP BY set_id),
+b AS (SELECT a.set_id, id, ok, CASE WHEN p = q THEN 0 WHEN p < q THEN p + 1 ELSE p END AS p, CASE WHEN p = q AND q > 0 THEN 'pin:1' END AS why FROM a LEFT JOIN f USING (set_id)),
+g AS (SELECT set_id, min(p) AS q FROM b WHERE ok AND p >= 2 GROUP BY set_id)
+SELECT b.set_id, id, CAST(1 + CASE WHEN p = q THEN 2 WHEN p >= 2 AND p < q THEN p + 1 ELSE p END AS INT) AS mixed_rank,
+  CASE WHEN p = q AND q > 2 THEN 'pin:3' ELSE why END AS mix_reason FROM b LEFT JOIN g USING (set_id)
+""", "news_events")
 def _(f):
     return RK.remix(RK.ranked(_scored(f)), pin=True)
 
