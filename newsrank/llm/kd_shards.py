@@ -7,7 +7,9 @@ texts have one place), its size, and hashes of language and source.
 A cut is found by aggregations alone: each row has a 42-bit key (21 bits of place, 21 bits that break ties by text
 and id), and three rounds of weighted histograms with 2^14 bins for each node narrow the key down; only one row for each
 node reaches the driver. Cuts (fewer than ``shards``) come to the rows by broadcast, so rows are never shuffled while the
-tree grows. A group of equal texts is cut only where it alone holds more than what is left of a shard.
+tree grows. A group of equal texts has one place in all dimensions, that of its smallest language and source, and is never torn
+where it holds at most a fiftieth of a shard (``WHOLE``); larger groups are cut by id, since kept whole they would make
+shards unequal.
 
 Slots number the rows of a shard without a gap: rows get a number in one of many parts of the shard, and parts get offsets.
 
@@ -25,16 +27,22 @@ from . import kernels as K
 PLACE, TIE, BIN = 21, 21, 14
 DIMENSIONS = ("d0", "d1", "d2", "d3")
 ROWS_PER_PART = 50_000
+WHOLE = 50
 
 
-def measured(docs: DataFrame, overhead: int = 16) -> DataFrame:
+def measured(docs: DataFrame, shards: int, overhead: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, dimensions of 21 bits, tie)."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     code = lambda c: F.pmod(F.xxhash64(c) if c in docs.columns else F.lit(0), F.lit(1 << PLACE)).cast("bigint")
-    rows = docs.select("doc_id", (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), code("lang").alias("d2"), code("source").alias("d3"))
+    rows = K.stored(docs.select("doc_id", (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_key"),
+                                code("lang").alias("l"), code("source").alias("s")))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = rows.groupBy("text_key").agg(F.min(F.struct("l", "s")).alias("at"), F.count("*").alias("n"), (F.sum("size") * shards * WHOLE <= total).alias("whole"))
+    rows = K.spread_join(rows, groups.select("text_key", F.col("at.l").alias("d2"), F.col("at.s").alias("d3"), "whole", "n"), "text_key")
     place = F.least(F.floor(F.log2(F.col("size")) * (1 << 15)), F.lit((1 << PLACE) - 1)).cast("bigint")
-    tie = F.shiftrightunsigned(F.xxhash64("text_crc32"), 64 - 10) * (1 << 11) + F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 64 - 11)
-    return rows.withColumns({"d0": F.shiftright("text_crc32", 32 - PLACE), "d1": place, "tie": tie})
+    torn = F.shiftrightunsigned(F.xxhash64("text_key"), 64 - 10) * (1 << 11) + F.shiftrightunsigned(F.xxhash64("doc_id", "text_key"), 64 - 11)
+    tie = F.when(F.col("whole"), F.shiftrightunsigned(F.xxhash64("text_key"), 64 - TIE)).otherwise(torn)
+    return rows.withColumns({"d0": F.shiftright("text_crc32", 32 - PLACE), "d1": place, "tie": tie}).drop("text_key", "l", "s", "whole")
 
 
 def _with_nodes(rows: DataFrame, nodes: list[tuple], schema: str) -> DataFrame:
@@ -85,7 +93,7 @@ def split(rows: DataFrame, shards: int) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row."""
-    rows = K.stored(measured(docs, overhead))
+    rows = K.stored(measured(docs, shards, overhead))
     rows = split(rows, shards).select("doc_id", "size", "text_crc32", "shard")
     parts = max(16, rows.count() // (shards * ROWS_PER_PART))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))

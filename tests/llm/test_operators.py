@@ -244,6 +244,21 @@ def test_shards(odd):
     assert kd_shards.shard(docs.limit(0), 5).count() == 0
 
 
+def test_small_groups_of_equal_texts_share_a_shard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = kd_shards.shard(docs, 8).join(docs.select("doc_id", F.sha2("text", 256).alias("g")), "doc_id").collect()
+    total, size, where = sum(r.size for r in rows), Counter(), {}
+    for r in rows:
+        size[r.g] += r.size
+        where.setdefault(r.g, set()).add(r.shard)
+    small = [g for g in where if size[g] * 8 * kd_shards.WHOLE <= total]
+    assert sum(1 for r in rows if r.g in set(small)) > len(small) and all(len(where[g]) == 1 for g in small)
+    by = Counter()
+    for r in rows:
+        by[r.shard] += r.size
+    assert max(by.values()) <= 1.1 * total / 8 and min(by.values()) >= 0.9 * total / 8
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
