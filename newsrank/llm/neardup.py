@@ -3,12 +3,13 @@
 Each of ``trees`` trees has ``depth`` minwise tokens of its own, one for each level, so that trees are independent:
 a set's tokens of a tree are its path, and two sets of similarity s stay together in one tree with probability
 s^depth. After ``depth`` branchings nodes are small for unrelated sets; a node of more than ``node_limit`` sets
-branches on, twice a level, each time by a minwise token that belongs to this branching alone and is taken
-from the full sets, until its parts are small or much alike.
+branches on, twice a level, by sketch bytes (see below) of two other trees that the node chooses, until its parts are small
+or much alike. No text is read for that.
 
 At s = 0.8, depth 4 and 24 trees a link is missed with probability (1 - 0.8^4)^24 = 3.3e-6 where no node
 branches on. Below a node that does, two branchings a level lose the pair with probability ((1 - s) / s)^2 = 1/16
-at most, however deep they go, so a link is missed with probability below (1 - 0.8^4 * 15/16)^24 = 9e-6 at any depth.
+at most, however deep they go, so a link is missed with probability below (1 - 0.8^4 * 15/16)^24 = 9e-6 if the bytes of
+different branchings are taken as independent; they come from a pool of ``trees * depth``, so this is an estimate.
 
 A small node is compared exhaustively on full sets: it is searched breadth first, each set against those
 not yet reached, so a component costs its spanning links only and no list of all pairs is ever made.
@@ -19,8 +20,7 @@ compared once. Sets that are equal are one class from the start, joined by diges
 Only node keys, set numbers, sizes and sketches travel for all documents. A sketch is one byte of each of the
 ``trees * depth`` minwise tokens; inside a node a set goes on only where another one is near enough in size (exact) and
 agrees in half of the sketch: at s = 0.8 a pair of 96 tokens fails that with probability below 1e-10. Texts and shingle
-sets travel for the sets left. A large node is first split by size, each set into two neighbouring size classes (two sets of
-similarity 0.8 share one), before any text is read for it. Links and components stay distributed.
+sets travel for the sets left, and not for the branchings below large nodes. Links and components stay distributed.
 
 Null or blank text has no words: n_shingles 0, linked with nothing. A class of equal sets is named by its digest, so rows with
 a null doc_id are linked as all others; a component's id is its smallest doc_id, null where all its ids are null. Repeated
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsrank.operators.graph import connected_components
@@ -115,33 +115,15 @@ def _own_set(sets: np.ndarray, d1: int, d2: int) -> bool:
     return len(sets) > 0 and int(K.mix(sets).sum(dtype=_U).view(np.int64)) == d1 and int(K.mix(sets ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) == d2
 
 
-def _deeper(words: int):
-    """Children of large nodes: two branchings each, by minwise tokens that no other branching uses."""
-    def run(batches):
-        for batch in batches:
-            at_name = batch.schema.get_field_index
-            reps, d1, d2 = (batch.column(at_name(c)).to_pylist() for c in ("rep", "d1", "d2"))
-            lists = batch.column(at_name("nodes"))
-            cuts = lists.offsets.to_numpy()
-            nodes, sizes = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "n"))
-            for a, b, data, offs in K.text_chunks(batch):
-                sets, at = shingle_sets(data, offs, words)
-                out = []
-                for d in range(b - a):
-                    own = sets[at[d]:at[d + 1]]
-                    if not _own_set(own, d1[a + d], d2[a + d]):
-                        continue
-                    node = nodes[cuts[a + d]:cuts[a + d + 1]].view(_U)
-                    keys = np.concatenate([K.mix(node), K.mix(node ^ _U(0xE7037ED1A0B428DB))])
-                    parent = np.tile(sizes[cuts[a + d]:cuts[a + d + 1]], 2)
-                    mul, add = _multipliers(keys)
-                    h = (own >> _U(32)).astype(np.uint32)
-                    step = max(1, (1 << 18) // len(h))
-                    token = np.concatenate([(h * mul[i:i + step, None] + add[i:i + step, None]).min(axis=1) for i in range(0, len(keys), step)])
-                    out.append((_branch(keys, token).view(np.int64), np.full(len(keys), reps[a + d], np.int64), parent))
-                for i in range(0, len(out), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[i:i + 256])], ["node", "rep", "parent"])
-    return run
+def _deeper(rows: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Children of large nodes: two branchings each, by sketch bytes of two other trees that the node chooses."""
+    def token(salt: str) -> Column:
+        tree = F.pmod(F.col("tree") + 1 + F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(trees - 1)), F.lit(trees))
+        at = tree + trees * F.pmod(F.xxhash64("node", F.lit(salt), F.lit("level")), F.lit(depth))
+        return F.xxhash64("node", F.lit(salt), F.substring("sketch", (at + 1).cast("int"), F.lit(1)))
+
+    j = rows.join(classes.select("rep", "sketch"), "rep")
+    return j.select(F.explode(F.array(token("first"), token("second"))).alias("node"), "rep", F.col("n").alias("parent"), "tree")
 
 
 def _member_sets(words: int):
@@ -181,7 +163,7 @@ def node_links(reps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
         if not left[seed]:
             continue
         left[seed] = False
-        queue = [seed]
+        queue, group = [seed], [seed]
         while queue:
             i = queue.pop()
             rest = np.flatnonzero(left & (sides == 0) if sides[i] else left)
@@ -197,7 +179,10 @@ def node_links(reps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perc
             near = rest[100 * both >= percent * (size[rest] + size[i] - both)]
             left[near] = False
             queue += near.tolist()
-            links += [(int(reps[i]), int(reps[j])) for j in near]
+            group += near.tolist()
+        # named by its smallest set, so that the same group found in several trees gives the same links
+        names = sorted(int(reps[i]) for i in group)
+        links += [(names[0], x) for x in names[1:]]
     return links
 
 
@@ -285,9 +270,9 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
     classes = profile.where("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     classes = K.stored(classes.select("d1", "d2", F.xxhash64("d1", "d2").alias("rep"), "row.doc_id", "row.text_key", "nodes", "sketch", "n_shingles"))
-    level = classes.select(F.explode("nodes").alias("node"), "rep", F.lit(None).cast("bigint").alias("parent"))
-    leaves, dense, by_size_yet = [], [], False
-    for step in range(depth, deepest + 2):
+    level = classes.select(F.posexplode("nodes").alias("tree", "node"), "rep", F.lit(None).cast("bigint").alias("parent"))
+    leaves, dense = [], []
+    for step in range(depth, deepest + 1):
         sizes = K.stored(level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"),
                                                    F.min("parent").alias("parent")).where("n > 1"))
         small = sizes.where(F.col("n") <= node_limit)
@@ -298,17 +283,10 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
         if large.isEmpty():
             break
         # a node that keeps more than half of its parent is a group of much alike sets: branching on would only lose links
-        alike = F.lit(step == deepest + 1) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
-        rows = level.select("node", "rep").join(large.select("node", "n", alike.alias("alike")), "node")
+        alike = F.lit(step == deepest) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
+        rows = level.select("node", "rep", "tree").join(large.select("node", "n", alike.alias("alike")), "node")
         dense.append(K.stored(rows.where("alike").select("node", "rep", "n")))
-        rows = rows.where("not alike")
-        if not by_size_yet:
-            size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-            split = rows.join(classes.select("rep", size_class.alias("c")), "rep").select("node", "rep", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
-            level = K.stored(split.select(F.xxhash64("node", "c", F.lit("size")).alias("node"), "rep", F.lit(None).cast("bigint").alias("parent")))
-            by_size_yet = True
-        else:
-            level = K.stored(_texts(rows, ["node", "n"], classes, docs).mapInArrow(_deeper(words), "node bigint, rep bigint, parent bigint").distinct())
+        level = K.stored(_deeper(rows.where("not alike"), classes, trees, depth))
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
@@ -316,9 +294,10 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
     large = None
     for more in dense:
         large = more if large is None else large.unionByName(more)
+    # a power of two, and by set alone: a group that several trees find alike is cut alike
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.col("n") / node_limit).cast("double")) - 1e-9)).cast("bigint")
     if large is not None:
-        blocks = F.ceil(F.col("n") / node_limit)
-        large = large.withColumn("block", F.pmod(F.xxhash64("rep", "node"), blocks))
+        large = large.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
         members = members.unionByName(large.select(F.xxhash64("node", "block", F.lit("block")).alias("node"), "rep", F.lit(0).alias("side")))
     links = K.stored(_links(members, classes, docs, words, percent))
     found = connected_components(links)
@@ -334,7 +313,7 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
             outside = K.stored(outside.join(counts, "node").withColumn("chunk", chunk))
             groups = outside.select("node", "n", "outs").distinct()
             cell = lambda c, b: F.xxhash64("node", c, b, F.lit("cell"))
-            a = outside.select("node", "rep", "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / node_limit) - 1)).alias("block"))
+            a = outside.select("node", "rep", "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
             b = placed.join(groups.select("node", "outs"), "node").select(
                 "node", "rep", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("outs") / node_limit) - 1)).alias("chunk"))
             a = a.select(cell("chunk", "block").alias("node"), "rep", F.lit(0).alias("side"))
