@@ -272,3 +272,31 @@ def test_pipeline_keeps_clean_documents(spark):
         rows = out
     assert rows.where("not round_trip").count() == 0
     assert 0.6 * docs.count() <= rows.count() <= docs.count()
+
+
+def test_near_duplicates_without_ids_and_below_large_nodes(spark):
+    rnd = random.Random(2)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(None, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l"), (None, None)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((None if i % 50 == 0 else 100 + i, " ".join(words)))
+    sets = [frozenset(zip(w, w[1:])) for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter((i, least.get(r) if t else i) for (i, t), r in zip(rows, root))
+    assert Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(table, node_limit=16).collect()) == want
+    kept = neardup.drop_near_duplicates(table.where("doc_id is null or doc_id < 100"), words=2).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept)[0] == (0, "") and 5 in {r.doc_id for r in kept}
+    assert not any(r.doc_id is None and (r.text or "").startswith("a b") for r in kept)
