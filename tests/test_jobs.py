@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 PICKED = ["src02_list_page_links", "src16_event_upsert", "flt01_freshness_gate", "flt13_post_quality_reasons", "ded06_fingerprints",
           "ded11_merged_clusters", "tag04_resolved_coins", "ver04_evidence_profile", "sco11_scored_events", "rnk09_final_rank",
           "sec05_gated_scores", "sig03_level_breaks", "agg03_scope_buckets", "dq07_excluded_and_stale", "pan05_rates_by_shock",
-          "mnt04_clock_shift", "str05_previous_values"]
+          "mnt04_clock_shift", "str05_previous_values", "src15_database_upsert", "src18_exported_groups", "tag09_title_entities",
+          "rnk12_production_page", "str07_streamed_windows", "str08_idempotent_commit"]
 
 
 @pytest.fixture(scope="module")
