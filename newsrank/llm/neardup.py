@@ -40,6 +40,8 @@ from newsrank.session import settled
 from . import kernels as K
 
 _U = np.uint64
+#: Sets, with the list of their nodes (some hundred bytes each), that are shipped to all executors at most.
+SHIPPED_SETS = 20_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int):
@@ -248,7 +250,9 @@ def _promising(percent: int):
 def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
     lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
-    wanted = lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep")
+    wanted = K.stored(lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep"))
+    if wanted.count() <= SHIPPED_SETS:                           # so few that the texts need not be shuffled
+        wanted = F.broadcast(wanted)
     # null ids are many rows under one key: one row of each text is enough
     texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["text_key"]))
     return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text", "nodes", "d1", "d2")
@@ -259,6 +263,9 @@ def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = members.join(classes.select("rep", "n_shingles", "sketch"), "rep")
     left = K.stored(sketched.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_promising(percent), "node bigint, side int, rep bigint"))
+    # one node of each set of members, as before: what is left of a group is the same in most trees
+    same = left.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep", "side").cast("decimal(38,0)")).alias("mark"))
+    left = left.join(same.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
     texts = _texts(left, ["node", "side"], classes, docs)
     sets = texts.mapInArrow(_member_sets(words), "node bigint, side int, rep bigint, shingles binary")
     return sets.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
