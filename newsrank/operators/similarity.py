@@ -23,7 +23,7 @@ from ..session import cut_lineage
 
 TILE_ROWS = 2048
 PIVOTS = 64
-PAIRS_PER_TASK = 16
+PAIRS_PER_TASK = 256
 BLOCK_ROWS = 64          # left rows of a tile pair whose matches are held at a time
 _SLACK = 1e-4
 
