@@ -3,13 +3,13 @@
 Each of ``trees`` trees has ``depth`` minwise tokens of its own, one for each level, so that trees are independent:
 a set's tokens of a tree are its path, and two sets of similarity s stay together in one tree with probability
 s^depth. After ``depth`` branchings nodes are small for unrelated sets; a node of more than ``node_limit`` sets
-branches on, twice a level, by sketch bytes (see below) of two other trees that the node chooses, until its parts are small
-or much alike. No text is read for that.
+branches on, twice a level, by one byte of each of two tokens that the node chooses outside its own tree, until its parts are
+small or much alike. No text is read for that.
 
 At s = 0.8, depth 4 and 24 trees a link is missed with probability (1 - 0.8^4)^24 = 3.3e-6 where no node
 branches on. Below a node that does, two branchings a level lose the pair with probability ((1 - s) / s)^2 = 1/16
 at most, however deep they go, so a link is missed with probability below (1 - 0.8^4 * 15/16)^24 = 9e-6 if the bytes of
-different branchings are taken as independent; they come from a pool of ``trees * depth``, so this is an estimate.
+different branchings are taken as independent; they come from a pool of ``TOKENS``, so this is an estimate.
 
 A small node is compared exhaustively on full sets: it is searched breadth first, each set against those
 not yet reached, so a component costs its spanning links only and no list of all pairs is ever made.
@@ -17,10 +17,12 @@ A large node of much alike sets is cut into blocks; sets outside the node's larg
 compared with every block, so nothing is lost. Nodes of equal members in several trees are
 compared once. Sets that are equal are one class from the start, joined by digest.
 
-Only node keys, set numbers, sizes and sketches travel for all documents. A sketch is one byte of each of the
-``trees * depth`` minwise tokens; inside a node a set goes on only where another one is near enough in size (exact) and
-agrees in half of the sketch: at s = 0.8 a pair of 96 tokens fails that with probability below 1e-10. Texts and shingle
-sets travel for the sets left, and not for the branchings below large nodes. Links and components stay distributed.
+Only node keys, set numbers, sizes and two bits of each of the 96 minwise tokens (24 bytes) travel for all
+documents. Inside a node a set goes on only where another one is near enough in size (exact) and agrees in so many of
+these pairs of bits that a pair at the threshold falls short by 5.5 standard deviations only: for 96 tokens and s = 0.8
+with probability below 1e-6. What goes on is grouped by components of such candidates, over all nodes and trees: a
+group of at most ``node_limit`` sets is compared once, each set shipped once; larger groups are compared by their nodes.
+Texts and shingle sets travel for these sets only. Links and components stay distributed.
 
 Null or blank text has no words: n_shingles 0, linked with nothing. A class of equal sets is named by its digest, so rows with
 a null doc_id are linked as all others; a component's id is its smallest doc_id, null where all its ids are null. Repeated
@@ -40,8 +42,10 @@ from newsrank.session import settled
 from . import kernels as K
 
 _U = np.uint64
-#: Sets, with the list of their nodes (some hundred bytes each), that are shipped to all executors at most.
-SHIPPED_SETS = 20_000
+#: Minwise tokens of a set at least; what the trees do not take serves the branchings below large nodes and the comparison.
+TOKENS = 96
+#: Equal pairs of bits in a byte of two briefs, by the exclusive or of the bytes.
+EQUAL_PAIRS = np.array([sum(x >> k & 3 == 0 for k in (0, 2, 4, 6)) for x in range(256)], np.int16)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int):
@@ -80,9 +84,15 @@ def _branch(node: np.ndarray, token: np.ndarray) -> np.ndarray:
     return K.mix(node * _U(0x9E3779B97F4A7C15) + token.astype(_U) + _U(1))
 
 
-def _profiles(words: int, trees: int, depth: int):
-    """doc_id, text_key, size, digest and sketch of the shingle set, its node in each tree."""
-    mul, add = _multipliers(np.arange(1, trees * depth + 1, dtype=_U))
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column of rows of equal width."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(rows)])
+
+
+def _profiles(words: int, trees: int, depth: int, tokens: int):
+    """doc_id, text_key, size, digest, sketch (a byte of each token) and brief (two bits of each) of the shingle set, its node in each tree."""
+    mul, add = _multipliers(np.arange(1, tokens + 1, dtype=_U))
     roots = K.mix(np.arange(1, trees + 1, dtype=_U))
 
     def run(batches):
@@ -91,7 +101,8 @@ def _profiles(words: int, trees: int, depth: int):
             for a, b, data, offs in K.text_chunks(batch):
                 sets, at = shingle_sets(data, offs, words)
                 n = np.diff(at)
-                sketch = np.zeros((b - a, trees * depth), np.uint8)
+                sketch = np.zeros((b - a, tokens), np.uint8)
+                brief = np.zeros((b - a, -(-tokens // 4)), np.uint8)
                 some = np.flatnonzero(n)
                 d1, d2 = np.zeros(b - a, _U), np.zeros(b - a, _U)
                 node = np.repeat(roots[None], b - a, axis=0)
@@ -100,16 +111,17 @@ def _profiles(words: int, trees: int, depth: int):
                     d1[some] = np.add.reduceat(K.mix(sets), cut)
                     d2[some] = np.add.reduceat(K.mix(sets ^ _U(0x5851F42D4C957F2D)), cut)
                     h = (sets >> _U(32)).astype(np.uint32)
-                    for k in range(trees * depth):
+                    for k in range(tokens):
                         token = np.minimum.reduceat(h * mul[k] + add[k], cut)
-                        node[some, k % trees] = _branch(node[some, k % trees], token)
+                        if k < trees * depth:
+                            node[some, k % trees] = _branch(node[some, k % trees], token)
                         sketch[some, k] = K.mix(token.astype(_U)) >> _U(56)
-                width = trees * depth
+                        brief[:, k // 4] |= (sketch[:, k] >> 6) << 2 * (k % 4)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                     pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * width, width, dtype=np.int32)), pa.py_buffer(sketch)]),
+                     _fixed(sketch), _fixed(brief),
                      pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * trees, pa.int32()), pa.array(node.view(np.int64).ravel()))],
-                    ["doc_id", "text_key", "n_shingles", "d1", "d2", "sketch", "nodes"])
+                    ["doc_id", "text_key", "n_shingles", "d1", "d2", "sketch", "brief", "nodes"])
     return run
 
 
@@ -117,15 +129,20 @@ def _own_set(sets: np.ndarray, d1: int, d2: int) -> bool:
     return len(sets) > 0 and int(K.mix(sets).sum(dtype=_U).view(np.int64)) == d1 and int(K.mix(sets ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) == d2
 
 
-def _deeper(rows: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """Children of large nodes: two branchings each, by sketch bytes of two other trees that the node chooses."""
-    def token(salt: str) -> Column:
-        tree = F.pmod(F.col("tree") + 1 + F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(trees - 1)), F.lit(trees))
-        at = tree + trees * F.pmod(F.xxhash64("node", F.lit(salt), F.lit("level")), F.lit(depth))
-        return F.xxhash64("node", F.lit(salt), F.substring("sketch", (at + 1).cast("int"), F.lit(1)))
+def _deeper(rows: DataFrame, classes: DataFrame, trees: int, depth: int, tokens: int) -> DataFrame:
+    """Children of large nodes: two branchings each, by the bytes of two tokens that the node chooses, none of its own tree."""
+    others = tokens - depth
+    first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(others))
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(others - 1)), F.lit(others))
+
+    def child(which: Column) -> Column:
+        # the tokens of the other trees come first, then those of no tree
+        beside = F.pmod(F.col("tree") + 1 + which % max(trees - 1, 1), F.lit(trees)) + trees * F.floor(which / max(trees - 1, 1))
+        at = F.when(which < (trees - 1) * depth, beside).otherwise(which + depth)
+        return F.xxhash64("node", at, F.substring("sketch", (at + 1).cast("int"), F.lit(1)))
 
     j = rows.join(classes.select("rep", "sketch"), "rep")
-    return j.select(F.explode(F.array(token("first"), token("second"))).alias("node"), "rep", F.col("n").alias("parent"), "tree")
+    return j.select(F.explode(F.array(child(first), child(second))).alias("node"), "rep", F.col("n").alias("parent"), "tree")
 
 
 def _member_sets(words: int):
@@ -210,59 +227,95 @@ def _confirm(percent: int):
     return run
 
 
-def _promising(percent: int):
-    """Members of a node that another member is near enough to, by size and by sketch."""
-    def close(rows):
-        side = np.array([r[0] for r in rows])
-        size = np.array([r[2] for r in rows], np.int64)
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        keep = np.zeros(len(rows), bool)
-        step = max(1, (4 << 20) // sketch.size)
-        for a in range(0, len(rows), step):
-            part = slice(a, a + step)
-            near = 100 * np.minimum(size[part, None], size) >= percent * np.maximum(size[part, None], size)
-            near &= (side[part, None] == 0) | (side == 0)
-            near[np.arange(near.shape[0]), np.arange(a, a + near.shape[0])] = False
-            i, j = np.nonzero(near)
-            ok = np.zeros(len(i), bool)
-            for k in range(0, len(i), 1 << 15):
-                ok[k:k + (1 << 15)] = 2 * (sketch[i[k:k + (1 << 15)] + a] == sketch[j[k:k + (1 << 15)]]).sum(axis=1) >= sketch.shape[1]
-            keep[i[ok] + a] = True
-        return [rows[i] for i in np.flatnonzero(keep).tolist()]
+def least_agreement(percent: int, tokens: int) -> int:
+    """Equal pairs of bits, of ``tokens``, that sets at the threshold reach but for 5.5 standard deviations."""
+    q = (3 * percent + 100) / 400                                # tokens agree, or differ and agree in two bits
+    return max(0, int(tokens * q - 5.5 * (tokens * q * (1 - q)) ** 0.5))
+
+
+def candidate_groups(sides: np.ndarray, sizes: np.ndarray, briefs: np.ndarray, percent: int, tokens: int) -> np.ndarray:
+    """For each member of a node the first member of its component of candidate pairs, -1 where it has no pair."""
+    n = len(sides)
+    agree = least_agreement(percent, tokens) + 4 * briefs.shape[1] - tokens      # unused bits agree always
+    left, right = [], []
+    step = max(1, (4 << 20) // briefs.size)
+    for a in range(0, n, step):
+        part = slice(a, a + step)
+        near = 100 * np.minimum(sizes[part, None], sizes) >= percent * np.maximum(sizes[part, None], sizes)
+        near &= (sides[part, None] == 0) | (sides == 0)
+        near &= np.arange(a, a + near.shape[0])[:, None] < np.arange(n)
+        i, j = np.nonzero(near)
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k:k + (1 << 15)] + a, j[k:k + (1 << 15)]
+            ok = EQUAL_PAIRS[briefs[x] ^ briefs[y]].sum(axis=1) >= agree
+            left.append(x[ok])
+            right.append(y[ok])
+    i, j = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
+    first = np.arange(n)
+    while True:
+        low = np.minimum(first[i], first[j])
+        before = first.copy()
+        np.minimum.at(first, i, low)
+        np.minimum.at(first, j, low)
+        first = first[first]
+        if (first == before).all():
+            break
+    paired = np.zeros(n, bool)
+    paired[i] = paired[j] = True
+    return np.where(paired, first, -1)
+
+
+def _promising(percent: int, tokens: int):
+    """Members of a node that another member is near enough to, by size and by brief, with the first of their group."""
+    def close(node, rows):
+        briefs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        first = candidate_groups(np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), briefs, percent, tokens)
+        return [(node, rows[i][0], rows[i][1], rows[first[i]][1]) for i in np.flatnonzero(first >= 0).tolist()]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["node", "side", "rep", "head"])
 
     def run(batches):
         held, now = [], None
         for batch in batches:
             out = []
-            for node, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "side", "rep", "n_shingles", "sketch"))):
+            for node, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "side", "rep", "n_shingles", "brief"))):
                 if node != now:
                     if len(held) > 1:
-                        out += [(now, r[0], r[1]) for r in close(held)]
+                        out += close(now, held)
                     held, now = [], node
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], ["node", "side", "rep"])
-        if len(held) > 1 and (out := [(now, r[0], r[1]) for r in close(held)]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], ["node", "side", "rep"])
+                yield batch_of(out)
+        if len(held) > 1 and (out := close(now, held)):
+            yield batch_of(out)
     return run
 
 
 def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
     lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
-    wanted = K.stored(lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep"))
-    if wanted.count() <= SHIPPED_SETS:                           # so few that the texts need not be shuffled
-        wanted = F.broadcast(wanted)
+    wanted = lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep")
     # null ids are many rows under one key: one row of each text is enough
     texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["text_key"]))
     return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text", "nodes", "d1", "d2")
 
 
-def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links of the given (node, side, rep) rows."""
+def _grouped(left: DataFrame, node_limit: int) -> DataFrame:
+    """(node, side, rep): candidate groups of at most ``node_limit`` sets as one node each, the other rows as they are."""
+    groups = connected_components(left.where("head != rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+    small = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= node_limit).select("root")
+    small = K.stored(groups.join(small, "root").select(F.col("node").alias("rep"), F.xxhash64("root", F.lit("group")).alias("node")))
+    rest = left.join(small.select("rep"), "rep", "left_anti").select("node", "side", "rep")
+    return small.select("node", F.lit(0).alias("side"), "rep").unionByName(rest)
+
+
+def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, tokens: int, node_limit: int | None = None) -> DataFrame:
+    """Confirmed links of the given (node, side, rep) rows; with ``node_limit`` groups of candidates stand for nodes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketched = members.join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    left = K.stored(sketched.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_promising(percent), "node bigint, side int, rep bigint"))
+    sketched = members.join(classes.select("rep", "n_shingles", "brief"), "rep")
+    left = K.stored(sketched.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_promising(percent, tokens), "node bigint, side int, rep bigint, head bigint"))
+    left = left.drop("head") if node_limit is None else K.stored(_grouped(left, node_limit))
     # one node of each set of members, as before: what is left of a group is the same in most trees
     same = left.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep", "side").cast("decimal(38,0)")).alias("mark"))
     left = left.join(same.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
@@ -273,10 +326,12 @@ def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: int, node_limit: int, deepest: int) -> tuple[DataFrame, DataFrame]:
     """(profile of every row, (d1, d2, root, doc_id, text_key) of every class of equal sets)."""
-    profile = K.stored(docs.mapInArrow(_profiles(words, trees, depth), "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, nodes array<bigint>"))
+    tokens = max(TOKENS, trees * depth)
+    profile = K.stored(docs.mapInArrow(_profiles(words, trees, depth, tokens), "doc_id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, brief binary, nodes array<bigint>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")
-    classes = profile.where("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    classes = K.stored(classes.select("d1", "d2", F.xxhash64("d1", "d2").alias("rep"), "row.doc_id", "row.text_key", "nodes", "sketch", "n_shingles"))
+    classes = profile.where("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"),
+                                                                 F.first("brief").alias("brief"), F.first("n_shingles").alias("n_shingles"))
+    classes = K.stored(classes.select("d1", "d2", F.xxhash64("d1", "d2").alias("rep"), "row.doc_id", "row.text_key", "nodes", "sketch", "brief", "n_shingles"))
     level = classes.select(F.posexplode("nodes").alias("tree", "node"), "rep", F.lit(None).cast("bigint").alias("parent"))
     leaves, dense = [], []
     for step in range(depth, deepest + 1):
@@ -293,7 +348,7 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
         alike = F.lit(step == deepest) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
         rows = level.select("node", "rep", "tree").join(large.select("node", "n", alike.alias("alike")), "node")
         dense.append(K.stored(rows.where("alike").select("node", "rep", "n")))
-        level = K.stored(_deeper(rows.where("not alike"), classes, trees, depth))
+        level = K.stored(_deeper(rows.where("not alike"), classes, trees, depth, tokens))
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
@@ -306,7 +361,7 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
     if large is not None:
         large = large.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
         members = members.unionByName(large.select(F.xxhash64("node", "block", F.lit("block")).alias("node"), "rep", F.lit(0).alias("side")))
-    links = K.stored(_links(members, classes, docs, words, percent))
+    links = K.stored(_links(members, classes, docs, words, percent, tokens, node_limit))
     found = connected_components(links)
     if large is not None:
         # sets outside the largest component of a cut node meet every block of it
@@ -326,7 +381,7 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
             a = a.select(cell("chunk", "block").alias("node"), "rep", F.lit(0).alias("side"))
             b = b.select(cell("chunk", "block").alias("node"), "rep", F.lit(1).alias("side"))
             cells = a.unionByName(b).groupBy("node", "rep").agg(F.min("side").cast("int").alias("side"))
-            links = links.unionByName(_links(cells, classes, docs, words, percent))
+            links = links.unionByName(_links(cells, classes, docs, words, percent, tokens))
             found = connected_components(links)
     return profile, classes.select("d1", "d2", "rep", "doc_id", "text_key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("root", "rep").alias("root"), "doc_id", "text_key")
