@@ -22,7 +22,8 @@ documents. Inside a node a set goes on only where another one is near enough in
 these pairs of bits that a pair at the threshold falls short by 5.5 standard deviations only: for 96 tokens and s = 0.8
 with probability below 1e-6. What goes on is grouped by components of such candidates, over all nodes and trees: a
 group of at most ``node_limit`` sets is compared once, each set shipped once; larger groups are compared by their nodes.
-Texts and shingle sets travel for these sets only. Links and components stay distributed.
+Texts and shingle sets travel for these sets only (a Bloom filter of a fixed 8 MB keeps the other texts out of the
+shuffle; where it is full, texts travel that the join then drops). Links and components stay distributed.
 
 Null or blank text has no words: n_shingles 0, linked with nothing. A class of equal sets is named by its digest, so rows with
 a null doc_id are linked as all others; a component's id is its smallest doc_id, null where all its ids are null. Repeated
@@ -32,6 +33,7 @@ rows are one class.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ from . import kernels as K
 _U = np.uint64
 #: Minwise tokens of a set at least; what the trees do not take serves the branchings below large nodes and the comparison.
 TOKENS = 96
+#: Bits of the Bloom filter of wanted texts: 8 MB at every input size. It only spares shuffling texts that nothing asks for.
+FILTER_BITS = 26
 #: Equal pairs of bits in a byte of two briefs, by the exclusive or of the bytes.
 EQUAL_PAIRS = np.array([sum(x >> k & 3 == 0 for k in (0, 2, 4, 6)) for x in range(256)], np.int16)
 
@@ -292,10 +296,30 @@ def _promising(percent: int, tokens: int):
     return run
 
 
+def _wanted_only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that ``wanted`` (__id, __key) does not name."""
+    def spots(id: str, key: str) -> list[Column]:
+        return [F.shiftrightunsigned(F.xxhash64(id, key, F.lit(k)), 64 - FILTER_BITS) for k in (0, 1)]
+
+    at = wanted.select(F.explode(F.array(*spots("__id", "__key"))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << FILTER_BITS - 6, np.int64)              # at most 2^20 words reach the driver
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b, t = a.to_numpy(), b.to_numpy(), shared.value
+        return pd.Series((t[a >> 6] >> (a & 63)) & (t[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return docs.where(held(*spots("doc_id", "text_key")))
+
+
 def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
     lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
-    wanted = lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep")
+    wanted = K.stored(lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep"))
+    docs = _wanted_only(docs, wanted)
     # null ids are many rows under one key: one row of each text is enough
     texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["text_key"]))
     return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text", "nodes", "d1", "d2")
