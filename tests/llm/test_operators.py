@@ -300,3 +300,18 @@ def test_near_duplicates_without_ids_and_below_large_nodes(spark):
     kept = neardup.drop_near_duplicates(table.where("doc_id is null or doc_id < 100"), words=2).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept)[0] == (0, "") and 5 in {r.doc_id for r in kept}
     assert not any(r.doc_id is None and (r.text or "").startswith("a b") for r in kept)
+
+
+def test_sibling_licences_and_negations(spark):
+    heads = {"Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+             "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+             "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+             "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+             "This is not released under the MIT License.": None, "Licensed under the Apache License, Version 1.1.": None,
+             "Released under the ISC License.": "ISC", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+             "Made available under the terms of the Eclipse Public License 2.0": "EPL-2.0"}
+    files = spark.createDataFrame([(i, f"f{i}/x", head, True) for i, head in enumerate(heads)], "file bigint, path string, text string, is_licence_file boolean")
+    got = {r.file: r.licence for r in licences.scan(files).collect()}
+    assert {head: got[i] for i, head in enumerate(heads)} == heads
