@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import scores as S
+from ..functions import text as X
 from ..functions import times as T
 from .dedup import link_posts
 from .filters import all_aggregated
@@ -16,13 +17,16 @@ MUTATED = ["score_breadth", "score_punch", "punch_magnitude_pct", "score_authori
 
 
 def rescore(events: DataFrame, price_move: str | None = None) -> DataFrame:
-    """Breadth, punch and total recomputed; stored impact, time, heat, authority and quality kept."""
+    """Breadth, punch and total recomputed; stored impact, time, heat, authority and quality kept.
+
+    Stored factors are short fractions, so totals often end in a half of the fourth digit: it goes up.
+    """
     c = F.col
     pct = c("pct")
     b = S.breadth(c("breadth_level"))
     i = S.punch(pct, c("title_zh"), c("title_en"), c("description_short_zh"), c("sources"))
     part = lambda name: F.coalesce(name, F.lit(0.0))
-    total = F.round(S.weighted_total({"M": part("score_market_impact"), "B": b, "T": part("score_timeliness"), "I": i,
+    total = X.round_settled(S.weighted_total({"M": part("score_market_impact"), "B": b, "T": part("score_timeliness"), "I": i,
                                       "H": part("score_hotness"), "A": part("score_authority"), "Q": part("score_quality")}), 4)
     return with_move(events.where("score_market_impact IS NOT NULL"), price_move).select(
         "id", "date", F.round(b, 4).alias("score_breadth"), F.round(i, 4).alias("score_punch"), pct.alias("punch_magnitude_pct"),

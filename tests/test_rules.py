@@ -94,3 +94,8 @@ def test_entity_and_outlet_keys(spark):
 def test_result_title(spark):
     assert value(spark, X.clean_result_title(F.lit("Rates rise again - Daily News"), F.lit("Daily News"))) == "Rates rise again"
     assert value(spark, X.clean_result_title(F.lit("Short - Daily News"), F.lit("Daily News"))) == "Short"
+
+
+def test_halves_of_a_total_go_up_in_whatever_order_they_were_added(spark):
+    df = spark.createDataFrame([(0.41015, 0.41014999999999996, 0.41014)], "a double, b double, c double")
+    assert tuple(df.select(*[X.round_settled(F.col(c), 4) for c in "abc"]).first()) == (0.4102, 0.4102, 0.4101)
