@@ -99,3 +99,10 @@ def test_result_title(spark):
 def test_halves_of_a_total_go_up_in_whatever_order_they_were_added(spark):
     df = spark.createDataFrame([(0.41015, 0.41014999999999996, 0.41014)], "a double, b double, c double")
     assert tuple(df.select(*[X.round_settled(F.col(c), 4) for c in "abc"]).first()) == (0.4102, 0.4102, 0.4101)
+
+
+def test_scores_that_differ_in_the_last_bit_keep_the_pool_order(spark):
+    from newsrank.operators import rank as RK
+
+    df = spark.createDataFrame([(0, 1, 0.3, 1), (0, 2, 0.1 + 0.2, 2), (0, 3, 0.31, 3)], "set_id int, id int, final_score double, pool_order int")
+    assert [r.id for r in RK.ranked(df).orderBy("rank").collect()] == [3, 1, 2]
