@@ -10,7 +10,7 @@ from ..functions import times as T
 from ..session import cut_lineage, shared_folder
 from ..streaming import commit as CM
 from ..streaming import ingest as IN
-from ..streaming.cooldown import ROCKSDB, cooldown_state, cooldown_stream
+from ..streaming.cooldown import batch_state, cooldown_batches
 from .jobs_sources import ISO_TS
 from .registry import job
 from .views import NOW, DuckWords, SparkWords
@@ -203,17 +203,11 @@ walk AS (
 def _cooled(f):
     rows = f.sql(_signal_text(SparkWords))
     rows = rows.select("key", "kind", "magnitude", _instant(F.col("stamp")).alias("at"), "run")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = f.spark.conf.get(name, None)
-    f.spark.conf.set(name, ROCKSDB)
 
     def start(stream, base, run):
-        cooldown_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/table").awaitTermination()
+        cooldown_batches(stream, f"{base}/store", f"{base}/table", f"{base}/state").awaitTermination()
 
-    try:
-        return _in_runs(f, rows, SIGNAL_RUNS, "cooldown", start)
-    finally:
-        f.spark.conf.unset(name) if before is None else f.spark.conf.set(name, before)
+    return _in_runs(f, rows, SIGNAL_RUNS, "cooldown", start)
 
 
 @job("str03_cooldown_stream", SIGNAL_CHECK + "SELECT key, kind, magnitude, CAST(epoch(stamp) AS BIGINT) AS at_s FROM walk WHERE passed")
@@ -227,8 +221,8 @@ def _(f):
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC) AS r FROM walk) WHERE r = 1 AND t + INTERVAL 30 DAY > (SELECT max(stamp) FROM s) - INTERVAL 1 HOUR
 """)
 def _(f):
-    """What the running cooldown still holds after four runs: keys older than thirty days were cleared by their timers."""
-    state = cooldown_state(f.spark, f"{_cooled(f)}/state")
+    """What the running cooldown still holds after four runs: keys older than thirty days were cleared."""
+    state = batch_state(f.spark, f"{_cooled(f)}/store")
     return state.select("key", "magnitude", F.expr("at_ms DIV 1000").alias("at_s"))
 
 

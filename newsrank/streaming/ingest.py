@@ -81,7 +81,7 @@ def reference_pairs(new: DataFrame, reference: DataFrame, key: str, hours: int =
     return n.join(r, (F.col("_key") == F.col("_ref_key")) & near).select("id", "ref_id", F.col("_key").alias(key))
 
 
-def _latest_version(spark: SparkSession, path: str, below: int) -> int | None:
+def latest_version(spark: SparkSession, path: str, below: int) -> int | None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
@@ -100,7 +100,7 @@ def with_previous(stream: DataFrame, key: str, value: str, stamp: str, state: st
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = batch.groupBy(key).agg(F.max_by(value, stamp).alias(value), F.max(stamp).alias(stamp))
-        version = _latest_version(spark, state, batch_id)
+        version = latest_version(spark, state, batch_id)
         old = now.limit(0) if version is None else spark.read.schema(now.schema).parquet(f"{state}/version={version}")
         old = old.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(stamp).alias("_at"))
         met = now.join(old, F.col(key) == F.col("_k"), "full")

@@ -102,3 +102,22 @@ def test_consumed_only_when_stored_and_not_deferred(spark):
     got = CM.mark_consumed(queue, done, held, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).orderBy("id").collect()
     assert [(r.id, r.consumed_at is not None, r.deferred_count, r.defer_reason) for r in got] == [
         (1, True, 0, None), (2, False, 2, "budget"), (3, False, 0, None), (4, True, 0, None)]
+
+
+def test_cooldown_in_batches_walks_each_key_once_and_forgets_old_ones(spark):
+    from newsrank.streaming.cooldown import batch_state, cooldown_batches
+
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    t0, h = dt.datetime(2024, 1, 1), lambda n: dt.timedelta(hours=n)
+    schema = "key string, kind string, magnitude double, at timestamp"
+    runs = [[("k1", "price_move", 10.0, t0), ("k1", "price_move", 12.0, t0 + h(2)), ("k2", "liquidation", 5e6, t0)],
+            [("k1", "price_move", 17.0, t0 + h(3)), ("k1", "price_move", 18.0, t0 + h(4)), ("k1", "price_move", 99.0, t0 - h(1)),
+             ("k3", "price_move", 1.0, t0 + h(721))],
+            [("k2", "liquidation", 1.0, t0 + h(722))]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        assert cooldown_batches(stream, f"{base}/s", f"{base}/out", f"{base}/c").awaitTermination(60)
+    got = sorted((r.key, r.magnitude) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [("k1", 10.0), ("k1", 18.0), ("k2", 1.0), ("k2", 5e6), ("k3", 1.0)]
+    assert sorted(r.key for r in batch_state(spark, f"{base}/s").collect()) == ["k1", "k2", "k3"]
