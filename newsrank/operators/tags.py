@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,12 +170,35 @@ def symbol_entities(events: DataFrame, listed: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("market_cap_rank")).cast(ENTITY).alias("entity"))
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """The distinct runs of ``size`` characters (at most four) of a text; none for a shorter one."""
-    chars = F.split(text, "")
-    at = F.sequence(F.lit(1), F.length(text) - size + 1)
-    one = F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), ""))
-    return F.when(F.length(text) >= size, F.array_distinct(one)).otherwise(F.array().cast("array<string>"))
+_SLOTS = 1 << 18
+
+
+def _slots(text: str, size: int) -> np.ndarray:
+    """A slot of 18 bits for each run of ``size`` characters, by its place in the text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes) - size + 1
+    mixed = np.zeros(max(n, 0), dtype=np.uint64)
+    for k in range(size if n > 0 else 0):
+        mixed = (mixed ^ codes[k:n + k]) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed >> np.uint64(46)
+
+
+def _grams(known: dict[tuple[str, int], np.ndarray]):
+    """The distinct runs, script and characters, of a Chinese and a whole title whose slot is ``known``; others begin no name."""
+    def cut(zh: pd.Series, en: pd.Series) -> pd.Series:
+        out = []
+        for texts in zip(zh, en):
+            by = dict(zip(("zh", "en"), texts))
+            out.append(list({s + by[s][i:i + w] for (s, w), slots in known.items() for i in np.nonzero(slots[_slots(by[s], w)])[0].tolist()}))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(cut, "array<string>", F.PandasUDFType.SCALAR)
+
+
+def _slot(grams: Column) -> Column:
+    """The slot of a run that is a whole text."""
+    return F.pandas_udf(lambda texts: pd.Series([int(_slots(t, len(t))[0]) for t in texts], dtype="int64"), "long",
+                        F.PandasUDFType.SCALAR)(grams)
 
 
 def title_entities(events: DataFrame, names: DataFrame) -> DataFrame:
@@ -181,22 +206,22 @@ def title_entities(events: DataFrame, names: DataFrame) -> DataFrame:
 
     ``names`` is a name dictionary of any size: turn, name, symbol, market, script ("zh" looks in the Chinese title, "en" in
     both in lower case), shown. Its index is the first characters of each name, up to four; titles are cut into runs of the
-    lengths that occur there and both meet by a hash join. What meets is then looked for as a whole.
+    lengths that occur there and both meet by a hash join. What meets is then looked for as a whole. A bitmap of a fixed
+    2^18 slots for each script and length tells the tasks which runs may begin a name, so that others are not shuffled.
     """
     zh = F.coalesce("title_zh", F.lit(""))
     both = F.lower(F.concat(zh, F.lit(" "), F.coalesce("title_en", F.lit(""))))
     width = F.least(F.length("name"), F.lit(4))
     index = names.where("name != ''").withColumn("width", width).withColumn("gram", F.substring("name", 1, 4))
-    sizes = [(r["script"], r["width"]) for r in index.select("script", "width").distinct().collect()]       # at most eight rows
+    known: dict[tuple[str, int], np.ndarray] = {}
+    for r in index.select("script", "width", _slot("gram").alias("slot")).distinct().collect():       # at most eight times the slots
+        known.setdefault((r["script"], r["width"]), np.zeros(_SLOTS, dtype=bool))[r["slot"]] = True
     texts = events.select("id", zh.alias("zh"), both.alias("en"))
-    runs = [texts.select("id", F.lit(s).alias("script"), F.explode(_grams(F.col(s), F.lit(w))).alias("gram")) for s, w in sizes]
-    if not runs:
+    if not known:
         return events.select("id", F.lit(0).alias("turn"), F.lit(None).cast(ENTITY).alias("entity")).where("false")
-    cut = runs[0]
-    for r in runs[1:]:
-        cut = cut.unionByName(r)
+    cut = texts.select("id", F.explode(_grams(known)("zh", "en")).alias("run"))
     book = F.struct("turn", "name", "symbol", "market", "script", "shown").alias("b")
-    met = cut.join(index.select("script", "gram", book), ["script", "gram"]).select("id", "b")
+    met = cut.join(index.select(F.concat("script", "gram").alias("run"), book), "run").select("id", "b")
     found = met.join(texts, "id").where(F.contains(F.when(F.col("b.script") == "zh", F.col("zh")).otherwise(F.col("en")), F.col("b.name")))
     first = found.groupBy("id", F.col("b.symbol").alias("_s")).agg(F.min_by("b", F.struct("b.turn", "b.name")).alias("b"))
     return first.select("id", F.col("b.turn").alias("turn"), F.struct(

@@ -106,3 +106,19 @@ def test_scores_that_differ_in_the_last_bit_keep_the_pool_order(spark):
 
     df = spark.createDataFrame([(0, 1, 0.3, 1), (0, 2, 0.1 + 0.2, 2), (0, 3, 0.31, 3)], "set_id int, id int, final_score double, pool_order int")
     assert [r.id for r in RK.ranked(df).orderBy("rank").collect()] == [3, 1, 2]
+
+
+def test_only_runs_that_may_begin_a_name_are_kept(spark):
+    import numpy as np
+
+    from newsrank.operators import tags as TG
+
+    known = np.zeros(TG._SLOTS, dtype=bool)
+    known[TG._slots("acme", 4)] = True
+    df = spark.createDataFrame([("the acme of acme 😀",), ("abc",), ("",)], "t string").coalesce(1)
+    assert [r.g for r in df.select(TG._grams({("en", 4): known})(F.lit("acme"), F.col("t")).alias("g")).collect()] == [["enacme"], [], []]
+    names = spark.createDataFrame([(0, "acme corp", "ACM", "us", "en", "Acme"), (1, "鹰", "YIN", "us", "zh", "鹰")],
+                                  "turn int, name string, symbol string, market string, script string, shown string")
+    events = spark.createDataFrame([(1, "鹰 Acme", "Corp"), (2, "a", "acme inc"), (3, None, None)], "id long, title_zh string, title_en string")
+    got = sorted((r.id, r.symbol) for r in TG.title_entities(events, names).select("id", "entity.symbol").collect())
+    assert got == [(1, "ACM"), (1, "YIN")]
