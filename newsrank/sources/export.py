@@ -11,6 +11,8 @@ from ..operators.ordering import numbered
 
 #: Rows a spreadsheet can hold.
 SHEET_ROWS = 1_048_575
+#: Bytes of text in a file, on average: one task writes it, and reads it back whole.
+SHEET_BYTES = 256 << 20
 BOM = "﻿"
 #: Quoting as spreadsheets read it: a field with a separator, quote or line end is quoted, quotes inside are doubled, and
 #: blanks stay as they are.
@@ -58,15 +60,19 @@ def run_table(results: DataFrame, personas: DataFrame) -> DataFrame:
 
 
 def export(df: DataFrame, titles: dict[str, str], folder: str, name: str, order: list[str], sep: str = "\t", bom: bool = False,
-           sheet_rows: int = SHEET_ROWS) -> list[str]:
+           sheet_rows: int = SHEET_ROWS, sheet_bytes: int = SHEET_BYTES) -> list[str]:
     """Write the columns of ``titles`` under their titles to ``folder``, sorted by ``order``, and return the file names.
 
     A table that a sheet can hold is one file ``name``.tsv (or .csv); a longer one becomes ``name``-1, ``name``-2, ..., each
-    with the header, so that no task writes more than a sheet. ``bom`` puts the mark before the first title by which some
+    with the header, so that no task writes more than a sheet; long rows make shorter sheets, of ``sheet_bytes`` on average. ``bom`` puts the mark before the first title by which some
     programs tell UTF-8.
     """
     spark = df.sparkSession
-    rows = numbered(df.select(*titles), order, "__row").withColumn("__sheet", F.floor((F.col("__row") - 1) / sheet_rows))
+    rows = numbered(df.select(*titles), order, "__row")
+    size = rows.agg(F.count("*"), F.sum(F.octet_length(F.concat_ws("\t", *titles)))).first()
+    if size[1]:
+        sheet_rows = max(1, min(sheet_rows, sheet_bytes * size[0] // size[1]))
+    rows = rows.withColumn("__sheet", F.floor((F.col("__row") - 1) / sheet_rows))
     sheets = (rows.agg(F.max("__sheet")).first()[0] or 0) + 1
     shown = list(titles.values())
     if bom:

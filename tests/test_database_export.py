@@ -112,3 +112,14 @@ def test_salted_panel_equals_the_shipped_one(spark):
     # a coin of two thirds of the rows is dealt evenly: parts of one coin differ by little
     parts = holders.where("coin = 'C0'").groupBy(F.pmod(F.xxhash64("user_id"), F.lit(16))).count().agg(F.max("count"), F.expr("median(count)")).first()
     assert parts[0] <= 3 * parts[1]
+
+
+def test_long_rows_make_shorter_sheets(spark, tmp_path):
+    from newsrank.sources import export as EX
+
+    df = spark.range(40).selectExpr("id AS a", "repeat('x', 98) AS b")
+    files = EX.export(df, {"a": "A", "b": "B"}, str(tmp_path), "t", ["a"], sheet_bytes=1010)
+    assert len(files) == 5 or len(files) == 4
+    assert max((tmp_path / f).stat().st_size for f in files) < 1200
+    back = EX.read_export(spark, [f"{tmp_path}/{f}" for f in files], {"a": "A", "b": "B"})
+    assert sorted(int(r.a) for r in back.collect()) == list(range(40))
