@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,11 +152,10 @@ def is_denial() -> Column:
 
 def _deniers(a: Tile, b: Tile, m: Match) -> pd.DataFrame:
     """For each claim in the left tile: how many deniers, and the first two by order."""
-    hit = pd.DataFrame({"id": a.id[m.left], "other": b.id[m.right], "other_ord": b.ord[m.right]})
-    hit = hit.sort_values("other_ord", kind="stable")
-    out = hit.groupby("id", sort=False).agg(
-        n=("other", "size"), others=("other", lambda s: s.tolist()[:2]), ords=("other_ord", lambda s: s.tolist()[:2]))
-    return out.reset_index()
+    order = np.lexsort((b.ord[m.right], m.left))
+    claim, start, n = np.unique(m.left[order], return_index=True, return_counts=True)
+    first = [m.right[order[s:s + min(k, 2)]] for s, k in zip(start, n)]
+    return pd.DataFrame({"id": a.id[claim], "n": n, "others": [b.id[f].tolist() for f in first], "ords": [b.ord[f].tolist() for f in first]})
 
 
 def denial_disputes(events: DataFrame, reference: DataFrame | None, weights: DataFrame,

@@ -140,3 +140,15 @@ def test_mutual_best(spark):
             want.add((a, b))
     df = spark.createDataFrame(pairs, "a long, b long, cosine double")
     assert {(r.a, r.b) for r in mutual_best(df).collect()} == want
+
+
+def test_small_cells_share_tiles(spark):
+    from newsrank.operators import similarity as S
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(800, 32)).astype(np.float32)
+    rows = vector_rows(frame(spark, v, np.zeros(len(v))), "id", "v")
+    centre = S._pick_pivots(rows, 64)
+    tiles = S._cut_into_tiles(S._with_cells(rows, centre), None, 400, centre)
+    sizes = [r["count"] for r in tiles.groupBy("tile").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 800 and len(sizes) <= 3
