@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import dictionaries as D
 from ..functions import text as X
 from ..functions import times as T
+from ..session import cut_lineage
 from .similarity import Match, Tile, tile_join, vector_rows
 
 _TIERS = list(D.SOURCE_TIER_WEIGHT)
@@ -136,14 +139,18 @@ def time_consistency(events: DataFrame, now, published: str = "time_event") -> D
     texts = F.concat_ws(" ", "title_zh", "title_en", "description_short_zh")
     day = F.substring(F.coalesce("event_date", F.lit("")), 1, 10)
     event_day = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date")).cast("timestamp_ntz")
+    # columns of their own: flags and score then read the texts once, and the pattern only where one of its words is
+    events = events.withColumn("_low", F.lower(texts))
+    worded = reduce(lambda x, y: x | y, [F.contains("_low", F.lit(word)) for word in D.BREAKING_WORDS])
+    events = events.withColumn("_recycled", (age_hours > 48) & worded & texts.rlike(D.BREAKING))
     rules = [("TIME_FUTURE_PUBLISH", age_hours < -6, 0.0), ("TIME_STALE", age_hours > 30 * 24, 0.4),
-             ("TIME_RECYCLED_BREAKING", (age_hours > 48) & texts.rlike(D.BREAKING), 0.3),
+             ("TIME_RECYCLED_BREAKING", F.col("_recycled"), 0.3),
              ("TIME_DATE_MISMATCH", F.abs(T.days_between(event_day, p)) > 7, 0.5)]
     flags = F.array_compact(F.array(*[F.when(cond, F.lit(flag)) for flag, cond, _ in rules]))
     score = F.least(F.lit(1.0), *[F.when(cond, F.lit(cap)).otherwise(1.0) for _, cond, cap in rules])
     return events.withColumn("time_score", F.when(calendar, 1.0).when(p.isNull(), 0.6).otherwise(score)).withColumn(
         "time_flags", F.when(calendar, F.array().cast("array<string>"))
-        .when(p.isNull(), F.array(F.lit("TIME_UNPARSEABLE"))).otherwise(flags))
+        .when(p.isNull(), F.array(F.lit("TIME_UNPARSEABLE"))).otherwise(flags)).drop("_recycled", "_low")
 
 
 def is_denial() -> Column:
@@ -164,13 +171,17 @@ def denial_disputes(events: DataFrame, reference: DataFrame | None, weights: Dat
 
     Only new rows are marked; deniers come from the new and the reference rows.
     """
-    pool = events if reference is None else events.unionByName(reference)
-    flagged = lambda df: df.withColumn("_d", is_denial())
-    claims = flagged(events).where("NOT _d")
-    deniers = flagged(pool).where("_d").join(
-        weights.where(F.col("best_weight") >= D.CREDIBLE_FLOOR).select("id"), "id", "left_semi")
     hours = T.hours_between(F.col("time_event"), T.wall("1970-01-01 00:00:00"))
-    rows = [vector_rows(df, "id", "embedding", hours, "ord") for df in (claims, deniers)]
+
+    def flagged(df):
+        """Rows with a vector, their titles read once."""
+        rows = vector_rows(df, "id", "embedding", hours, "ord", extra=["title_zh", "title_en"])
+        return cut_lineage(rows.withColumn("_d", is_denial()).drop("title_zh", "title_en"))
+
+    new = flagged(events)
+    pool = new if reference is None else new.unionByName(flagged(reference))
+    deniers = pool.where("_d").join(weights.where(F.col("best_weight") >= D.CREDIBLE_FLOOR).select("id"), "id", "left_semi")
+    rows = [new.where("NOT _d").drop("_d"), deniers.drop("_d")]
     id_type = rows[0].schema["id"].dataType.simpleString()
     found = tile_join(*rows, _deniers, f"id {id_type}, n long, others array<{id_type}>, ords array<long>", threshold,
                       window_hours=window_hours, missing_time="pass", **kw)

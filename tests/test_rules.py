@@ -122,3 +122,17 @@ def test_only_runs_that_may_begin_a_name_are_kept(spark):
     events = spark.createDataFrame([(1, "鹰 Acme", "Corp"), (2, "a", "acme inc"), (3, None, None)], "id long, title_zh string, title_en string")
     got = sorted((r.id, r.symbol) for r in TG.title_entities(events, names).select("id", "entity.symbol").collect())
     assert got == [(1, "ACM"), (1, "YIN")]
+
+
+def test_breaking_texts_are_read_once(spark):
+    from newsrank.operators import verify as V
+
+    titles = ["BREAKING: x", "Just In now", "breakingnews", "heartbreaking", "plain", "突发 y", None, "two Minutes Ago"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "id long, title_en string, title_zh string").selectExpr(
+        "*", "'' AS description_short_zh", "TIMESTAMP_NTZ'2024-01-10 00:00:00' AS time_event", "'' AS event_date",
+        "array(named_struct('type', 'rss')) AS sources")
+    out = V.time_consistency(df, "2024-01-20 00:00:00")
+    assert set(out.columns) == {*df.columns, "time_score", "time_flags"}
+    assert {r.id for r in out.collect() if r.time_flags} == {0, 1, 5, 7}
+    plan = out.select("id", "time_score", "time_flags")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bmoments ago\b") == 1
