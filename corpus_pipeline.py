@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsrank.llm import decontaminate, kernels, neardup, pieces, suffix_dedup, toxicity
-from newsrank.session import SHUFFLE_CLEANUP, drop_folder
+from newsrank.session import BATCH_BYTES, SHUFFLE_CLEANUP, drop_folder
 
 
 def freeing(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs``, whose write frees what it has shuffled: a stage is read again only from its Parquet."""
+    """``docs``, whose write frees what it has shuffled and takes small batches: a stage is read again only from its Parquet."""
     spark.conf.set(SHUFFLE_CLEANUP, "true")
+    spark.conf.set(*BATCH_BYTES)
     return docs
 
 
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), {key: spark.conf.get(key) for key in (SHUFFLE_CLEANUP, BATCH_BYTES[0])}
     try:
         path = None
         for _, stage in STAGES:
@@ -59,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 drop_folder(spark, last)
         return docs
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
