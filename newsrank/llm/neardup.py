@@ -23,7 +23,8 @@ these pairs of bits that a pair at the threshold falls short by 5.5 standard dev
 with probability below 1e-6. What goes on is grouped by components of such candidates, over all nodes and trees: a
 group of at most ``node_limit`` sets is compared once, each set shipped once; larger groups are compared by their nodes.
 Texts and shingle sets travel for these sets only (a Bloom filter of a fixed 8 MB keeps the other texts out of the
-shuffle; where it is full, texts travel that the join then drops). Links and components stay distributed.
+shuffle; where it is full, texts travel that the join then drops). Rows of nodes that hold one set are kept out in the
+same way. Links and components stay distributed.
 
 Null or blank text has no words: n_shingles 0, linked with nothing. A class of equal sets is named by its digest, so rows with
 a null doc_id are linked as all others; a component's id is its smallest doc_id, null where all its ids are null. Repeated
@@ -46,7 +47,7 @@ from . import kernels as K
 _U = np.uint64
 #: Minwise tokens of a set at least; what the trees do not take serves the branchings below large nodes and the comparison.
 TOKENS = 96
-#: Bits of the Bloom filter of wanted texts: 8 MB at every input size. It only spares shuffling texts that nothing asks for.
+#: Bits of a Bloom filter of wanted texts or nodes: 8 MB at every input size. It only spares shuffling rows that a join then drops.
 FILTER_BITS = 26
 #: Equal pairs of bits in a byte of two briefs, by the exclusive or of the bytes.
 EQUAL_PAIRS = np.array([sum(x >> k & 3 == 0 for k in (0, 2, 4, 6)) for x in range(256)], np.int16)
@@ -296,30 +297,30 @@ def _promising(percent: int, tokens: int):
     return run
 
 
-def _wanted_only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows that ``wanted`` (__id, __key) does not name."""
-    def spots(id: str, key: str) -> list[Column]:
-        return [F.shiftrightunsigned(F.xxhash64(id, key, F.lit(k)), 64 - FILTER_BITS) for k in (0, 1)]
+def _held(rows: DataFrame, columns: list[str], wanted: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` are not among the ``names`` of ``wanted``: a Bloom filter of fixed size."""
+    def spots(key: list[str]) -> list[Column]:
+        return [F.shiftrightunsigned(F.xxhash64(*key, F.lit(k)), 64 - FILTER_BITS) for k in (0, 1)]
 
-    at = wanted.select(F.explode(F.array(*spots("__id", "__key"))).alias("at"))
+    at = wanted.select(F.explode(F.array(*spots(names))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
     table = np.zeros(1 << FILTER_BITS - 6, np.int64)              # at most 2^20 words reach the driver
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def held(a: pd.Series, b: pd.Series) -> pd.Series:
         a, b, t = a.to_numpy(), b.to_numpy(), shared.value
         return pd.Series((t[a >> 6] >> (a & 63)) & (t[b >> 6] >> (b & 63)) & 1 == 1)
 
-    return docs.where(held(*spots("doc_id", "text_key")))
+    return rows.where(held(*spots(columns)))
 
 
 def _texts(rows: DataFrame, columns: list[str], classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, text, nodes, d1, d2): the text of each set of the (node, rep, ...) rows beside the list of its nodes."""
     lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*columns)).alias("nodes"))
     wanted = K.stored(lists.join(classes.select("rep", "d1", "d2", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "rep"))
-    docs = _wanted_only(docs, wanted)
+    docs = _held(docs, ["doc_id", "text_key"], wanted, ["__id", "__key"])
     # null ids are many rows under one key: one row of each text is enough
     texts = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").dropDuplicates(["text_key"]))
     return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("rep", "text", "nodes", "d1", "d2")
@@ -359,6 +360,10 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
     level = classes.select(F.posexplode("nodes").alias("tree", "node"), "rep", F.lit(None).cast("bigint").alias("parent"))
     leaves, dense = [], []
     for step in range(depth, deepest + 1):
+        if step == depth:
+            # of all rows only their nodes travel, to be counted; the rows of a node of one set stay where they are
+            shared = K.stored(level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+            level = K.stored(_held(level, ["node"], shared, ["node"]))
         sizes = K.stored(level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"),
                                                    F.min("parent").alias("parent")).where("n > 1"))
         small = sizes.where(F.col("n") <= node_limit)
@@ -370,8 +375,8 @@ def _components(docs: DataFrame, words: int, percent: int, trees: int, depth: in
             break
         # a node that keeps more than half of its parent is a group of much alike sets: branching on would only lose links
         alike = F.lit(step == deepest) | (2 * F.col("n") > F.coalesce("parent", F.lit(1 << 62)))
-        rows = level.select("node", "rep", "tree").join(large.select("node", "n", alike.alias("alike")), "node")
-        dense.append(K.stored(rows.where("alike").select("node", "rep", "n")))
+        rows = K.stored(level.select("node", "rep", "tree").join(large.select("node", "n", alike.alias("alike")), "node"))
+        dense.append(rows.where("alike").select("node", "rep", "n"))
         level = K.stored(_deeper(rows.where("not alike"), classes, trees, depth, tokens))
     members = leaves[0]
     for more in leaves[1:]:
